@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,25 +58,25 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 _ODD = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
+    """Powers of an odd number and of its inverse modulo 2**64.
+
+    The tables stay with the interpreter, not in a global that would travel with every function.
+    """
+    kept = sys.__dict__.setdefault("_saltmarsh_powers", {})
+    if len(kept.get("power", ())) < n:
         size = max(n, SLICE_BYTES + 1)
-        inverse = pow(_ODD, -1, 1 << 64)
         made = []
-        for base in (_ODD, inverse):
+        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             made.append(np.multiply.accumulate(steps))
         if size > 8 * SLICE_BYTES:  # for one very long text; not kept
             return made[0][:n], made[1][:n]
-        _POWERS, _INVERSES = made
-    return _POWERS[:n], _INVERSES[:n]
+        kept["power"], kept["inverse"] = made
+    return kept["power"][:n], kept["inverse"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import mixing_queries
+from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries
 
 QUERIES = {
+    "op3_decontamination": decontaminate_queries.op3_decontamination,
+    "op5_simhash": simhash_queries.op5_simhash,
     "op8_mixing": mixing_queries.op8_mixing,
 }
 ORACLES = {
+    "op3_decontamination": decontaminate_queries.OP3_SQL,
     "op8_mixing": mixing_queries.OP8_SQL,
 }
