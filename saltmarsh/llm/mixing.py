@@ -114,8 +114,8 @@ def pareto_mix(
     second = first.withColumn("b2", F.floor((F.col("rank") * BINS - F.col("b1")) * BINS))
     cut1 = cut(_crossing(first, "b1"))
     inside = second.join(cut1, "skey").where(F.col("b1") == F.col("cut_b1")).withColumn("missing", F.col("missing") - F.col("before_b1"))
-    cut2 = cut(_crossing(inside, "b2"))
-    placed = second.join(cut1.join(cut2, "skey"), "skey", "left")
+    cuts = cut(cut1.join(_crossing(inside, "b2"), "skey"))
+    placed = second.join(cuts, "skey", "left")
     # Only the rows of one bin in BINS * BINS of a source are ranked one by one.
     edge = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
     order = Window.partitionBy("skey").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

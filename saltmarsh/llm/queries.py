@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries, toxicity_queries
+from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries, token_queries, toxicity_queries
 
 QUERIES = {
     "op3_decontamination": decontaminate_queries.op3_decontamination,
+    "op4_token_output": token_queries.op4_token_output,
     "op5_simhash": simhash_queries.op5_simhash,
     "op7_toxicity": toxicity_queries.op7_toxicity,
     "op8_mixing": mixing_queries.op8_mixing,
