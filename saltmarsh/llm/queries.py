@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries, token_queries, toxicity_queries
+from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries, suffix_queries, token_queries, toxicity_queries
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_queries.op1_suffix_dedup,
     "op3_decontamination": decontaminate_queries.op3_decontamination,
     "op4_token_output": token_queries.op4_token_output,
     "op5_simhash": simhash_queries.op5_simhash,
