@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import decontaminate_queries, mixing_queries, simhash_queries, suffix_queries, token_queries, toxicity_queries
+from saltmarsh.llm import decontaminate_queries, language_queries, mixing_queries, secret_queries, simhash_queries, suffix_queries, token_queries, toxicity_queries
 
 QUERIES = {
     "op1_suffix_dedup": suffix_queries.op1_suffix_dedup,
+    "op2_secrets": secret_queries.op2_secrets,
     "op3_decontamination": decontaminate_queries.op3_decontamination,
     "op4_token_output": token_queries.op4_token_output,
     "op5_simhash": simhash_queries.op5_simhash,
+    "op6_language_id": language_queries.op6_language_id,
     "op7_toxicity": toxicity_queries.op7_toxicity,
     "op8_mixing": mixing_queries.op8_mixing,
 }
