@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm import decontaminate_queries, language_queries, mixing_queries, secret_queries, simhash_queries, suffix_queries, token_queries, toxicity_queries
+from saltmarsh.llm import ann_queries, decontaminate_queries, language_queries, mixing_queries, secret_queries, simhash_queries, suffix_queries, token_queries, toxicity_queries, url_queries
 
 QUERIES = {
     "op1_suffix_dedup": suffix_queries.op1_suffix_dedup,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_language_id": language_queries.op6_language_id,
     "op7_toxicity": toxicity_queries.op7_toxicity,
     "op8_mixing": mixing_queries.op8_mixing,
+    "op9_url_filter": url_queries.op9_url_filter,
+    "op10_ann": ann_queries.op10_ann,
 }
 ORACLES = {
     "op3_decontamination": decontaminate_queries.OP3_SQL,

@@ -44,7 +44,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-_WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
+#: Code points of white space outside ASCII.
+_WIDE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _WIDE_LEAD = np.zeros(256, bool)
 _WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Distinct pieces that a task remembers between slices.
