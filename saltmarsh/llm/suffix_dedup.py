@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._text import SLICE_BYTES, mix, slices
-from saltmarsh.session import cut
 
 LENGTH = 100
 GRAM = 20
@@ -404,6 +403,8 @@ def _stretches(joined: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             held, rows = [[] for _ in names], 0
             for did, check, body, parts in zip(*(batch.column(k) for k in ("did", "sum", "text", "shared"))):
+                if not parts.is_valid:
+                    continue
                 text = unpacker.decompress(body.as_buffer().to_pybytes())
                 for part in parts.as_py():
                     n, at, columns = int.from_bytes(part[:8], "little"), 8, []
@@ -457,6 +458,38 @@ def _sorted_bucket(last: bool, length: int):
     return run
 
 
+def _second_round(length: int):
+    """Suffix arrays over the stretches that went on, anchor by anchor; ranges pass through."""
+    work = _sorted_bucket(True, length)
+    names = ["did", "sum", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        of = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from work(pa.concat_tables(held)).select(names).to_batches()
+            held.clear()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            on = table.column("body").is_valid().to_numpy()
+            last = int(on.sum())  # these come first
+            key = table.column("k").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:last] != key[: last - 1]) + 1).tolist(), last] if last else [0]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if of is not None and key[s] != of:
+                    yield from done()
+                of = key[s]
+                held.append(table.slice(s, e - s))
+            if last < len(table):
+                yield from table.slice(last).select(names).to_batches()
+        yield from done()
+
+    return run
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs``; ``kept`` are the bytes that stay."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -475,9 +508,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = slim.mapInArrow(squeeze, "did long, sum long, text binary")
     by_row = shared.groupBy("did", "sum").agg(F.collect_list("shared").alias("shared"))
-    once = cut(_stretches(texts.where(F.octet_length("text") > 0).join(by_row, ["did", "sum"]), length).groupBy("bucket").applyInArrow(_sorted_bucket(False, length), _FOUND))
-    again = once.where("body IS NOT NULL").groupBy("h").applyInArrow(_sorted_bucket(True, length), _FOUND)
-    ranges = once.where("body IS NULL").unionByName(again).groupBy("did", "sum").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    # Both joins have the texts on their left and nothing between, so that the plan shuffles them once.
+    around = _stretches(texts.join(by_row.hint("merge"), ["did", "sum"], "left"), length)
+    once = around.groupBy("bucket").applyInArrow(_sorted_bucket(False, length), _FOUND)
+    # What goes on to the second round meets by its anchor; ranges ride along on their document.
+    meet = once.withColumn("k", F.coalesce("h", F.xxhash64("did", "start"))).repartition("k").sortWithinPartitions(F.col("body").isNull(), "k")
+    found = meet.mapInArrow(_second_round(length), "did long, sum long, start long, end long")
+    ranges = found.groupBy("did", "sum").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -504,7 +541,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(ranges, ["did", "sum"], "left").select("did", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(ranges.hint("merge"), ["did", "sum"], "left").select("did", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removed_sha256(kept: bytes) -> str:
