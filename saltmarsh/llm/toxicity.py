@@ -31,7 +31,9 @@ FIT_ROWS = 12_000
 MIN_DOCS = 4
 MAX_TERMS = 4096
 FACTORS = 4
-EPOCHS = 40
+#: Mini-batches in all, and documents of one.
+STEPS = 2000
+BATCH = 256
 RATE = 0.03
 DECAY = 2e-3
 THRESHOLD = 0.7
@@ -102,10 +104,10 @@ def fit(sets: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     doc, flat = doc[flat > 0], flat[flat > 0]
     bounds = np.searchsorted(doc, np.arange(len(sets) + 1))
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(sets))
-        for k in range(0, len(order), 256):
-            part = order[k : k + 256]
+        for k in range(0, len(order), BATCH):
+            part = order[k : k + BATCH]
             at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in part])
             f = flat[at]
             d = np.repeat(np.arange(len(part)), bounds[part + 1] - bounds[part])
