@@ -43,6 +43,8 @@ GRAM = 20
 #: Anchors of one counting bucket, and of one suffix array if all of them were shared.
 COUNT_BUCKET = 1 << 17
 SORT_BUCKET = 1 << 13
+#: Anchors of one task's buckets, if all of them were shared.
+ROUTE = 1 << 18
 #: A gram is frequent if it is one in this many of all grams or more: there are at most as many such grams.
 FREQUENT = 1 << 15
 #: Occurrences of one anchor that meet in one bucket of the first round.
@@ -233,21 +235,19 @@ def packed(text: np.ndarray) -> np.ndarray:
     return (four[:n] << np.uint64(27)) | (two[4 : n + 4] << np.uint64(9)) | wide[6 : n + 6]
 
 
-def repeated(bodies: list[bytes], places: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which windows of the stretches ``bodies``, one after another, repeat an earlier one.
+def repeated(data: np.ndarray, begins: np.ndarray, n_windows: np.ndarray, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which windows of some stretches of ``data``, one after another, repeat an earlier one.
 
-    ``places`` orders the stretches' first windows: document and offset as one number, so that the windows
-    of a stretch have the numbers after it.
+    A stretch begins at ``begins`` and holds ``n_windows`` windows. ``places`` orders the stretches' first
+    windows: document and offset as one number, so that the windows of a stretch have the numbers after it.
     """
-    sizes = np.array([len(x) for x in bodies], np.int64)
-    n_windows = sizes - length + 1
-    begins = np.cumsum(sizes + 1) - sizes - 1
+    sizes = n_windows + length - 1
     words = -(-length // 7)
-    text = np.zeros(int(sizes.sum()) + len(bodies) + 7 * words + 8, np.uint16)
-    flat = np.frombuffer(b"\0".join(bodies), np.uint8)
-    text[: len(flat)] = flat
-    text[: len(flat)] += 1
-    text[begins[1:] - 1] = 0
+    text = np.zeros(int(sizes.sum()) + len(sizes) + 7 * words + 8, np.uint16)
+    own = np.cumsum(sizes + 1) - sizes - 1  # a 0 stays after each stretch
+    text[_spread(own, sizes)] = data[_spread(begins, sizes)]
+    text[_spread(own, sizes)] += 1
+    begins = own
     number = np.arange(int(n_windows.sum())) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     starts = np.repeat(begins, n_windows) + number
     wanted = np.zeros(len(text), bool)
@@ -394,14 +394,40 @@ def _shared_rows(routed: DataFrame, frequent: np.ndarray, buckets: int) -> DataF
     return routed.groupBy("route").applyInArrow(run, "did long, sum long, shared binary")
 
 
-def _stretches(joined: DataFrame, length: int) -> DataFrame:
-    """(bucket, h, dealt, did, sum, first, body): the text around every shared anchor, from (did, sum, text, shared)."""
+#: What is kept of a stretch: bucket, hash, dealt to several buckets, document, checksum, first window, windows.
+_STRETCH = [np.uint32, np.uint64, np.uint8, np.int64, np.uint32, np.uint32, np.uint8]
+
+
+def _stretches(joined: DataFrame, routes: int, length: int) -> DataFrame:
+    """(route, stretches): the text around every shared anchor, from (did, sum, text, shared).
+
+    The stretches of a batch whose buckets go one way are packed together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        names = ["bucket", "h", "dealt", "did", "sum", "first", "body"]
+        packer = zstandard.ZstdCompressor(level=3)
+        held: list[list[np.ndarray]] = []
+        texts: list[bytes] = []
+        begins: list[np.ndarray] = []
+        size = rows = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            begin = np.concatenate(begins)
+            by = columns[0] % np.uint32(routes)
+            order = np.lexsort((columns[0], by))
+            columns, begin, by = [x[order] for x in columns], begin[order], by[order]
+            cuts = np.append(np.flatnonzero(np.append(True, by[1:] != by[:-1])), len(by))
+            bodies = []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                body = data[_spread(begin[s:e], columns[6][s:e].astype(np.int64) + length - 1)]
+                bodies.append(packer.compress(b"".join([(e - s).to_bytes(8, "little"), *(x[s:e].tobytes() for x in columns), body.tobytes()])))
+            held.clear(), texts.clear(), begins.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(by[cuts[:-1]].astype(np.int64)), pa.array(bodies, pa.binary())], ["route", "stretches"])
+
         for batch in batches:
-            held, rows = [[] for _ in names], 0
             for did, check, body, parts in zip(*(batch.column(k) for k in ("did", "sum", "text", "shared"))):
                 if not parts.is_valid:
                     continue
@@ -412,57 +438,90 @@ def _stretches(joined: DataFrame, length: int) -> DataFrame:
                         columns.append(np.frombuffer(part, kind, n, at))
                         at += n * np.dtype(kind).itemsize
                     bucket, h, first, count, dealt = columns
-                    held[0].append(bucket.astype(np.int64)), held[1].append(h.view(np.int64)), held[2].append(dealt.astype(np.int8))
-                    held[3].append(np.full(n, did.as_py(), np.int64)), held[4].append(np.full(n, check.as_py(), np.int64)), held[5].append(first.astype(np.int64))
-                    held[6] += [text[s : s + c + length - 1] for s, c in zip(first.tolist(), count.tolist())]
+                    held.append([bucket, h, dealt, np.full(n, did.as_py(), np.int64), np.full(n, check.as_py(), np.uint32), first, count])
+                    begins.append(first.astype(np.int64) + size)
                     rows += n
-                if rows >= 20_000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in held[:6]), pa.array(held[6], pa.binary())], names)
-                    held, rows = [[] for _ in names], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in held[:6]), pa.array(held[6], pa.binary())], names)
+                texts.append(text)
+                size += len(text)
+                if rows >= 1 << 17:
+                    yield from done()
+                    size = rows = 0
+        if rows:
+            yield from done()
+
+    return joined.select("did", "sum", "text", "shared").mapInArrow(run, "route long, stretches binary")
+
 
-    return joined.select("did", "sum", "text", "shared").mapInArrow(run, "bucket long, h long, dealt byte, did long, sum long, first long, body binary")
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices first[k] .. first[k] + counts[k] of every k, one after another."""
+    return np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
 
 
 _FOUND = "did long, sum long, start long, end long, h long, first long, body binary"
 
 
-def _sorted_bucket(last: bool, length: int):
+def _bucket(columns: list[np.ndarray], data: np.ndarray, begins: np.ndarray, last: bool, length: int) -> pa.Table:
     """The work of one bucket: its repeated windows as byte ranges, and before the last round the stretches that go on."""
+    _, h, dealt, ids, sums, first, windows = columns
+    first, n_windows = first.astype(np.int64), windows.astype(np.int64)
+    _, document = np.unique(ids, return_inverse=True)
+    again = repeated(data, begins, n_windows, (document.astype(np.int64) << 40) + first, length)
+    opens = np.cumsum(n_windows) - n_windows
+    of = np.repeat(np.arange(len(ids)), n_windows)
+    # Ranges of windows that repeat, stretch by stretch.
+    edge = np.append(True, of[1:] != of[:-1])
+    start = np.flatnonzero(again & (edge | ~np.append(False, again[:-1])))
+    stop = np.flatnonzero(again & (np.append(edge[1:], True) | ~np.append(again[1:], False)))
+    row = of[start]
+    out = [ids[row], sums[row].astype(np.int64), first[row] + start - opens[row], first[row] + stop - opens[row] + length]
+    none = pa.nulls(len(row), pa.int64())
+    found = pa.table([*(pa.array(x) for x in out), none, none, pa.nulls(len(row), pa.binary())], names=["did", "sum", "start", "end", "h", "first", "body"])
+    if last:
+        return found
+    on = np.flatnonzero((np.add.reduceat(~again, opens) > 0) & (dealt > 0))
+    bodies = [data[begins[k] : begins[k] + n_windows[k] + length - 1].tobytes() for k in on.tolist()]
+    none = pa.nulls(len(on), pa.int64())
+    rest = pa.table([pa.array(ids[on]), pa.array(sums[on].astype(np.int64)), none, none, pa.array(h[on].view(np.int64)), pa.array(first[on]), pa.array(bodies, pa.binary())], names=found.column_names)
+    return pa.concat_tables([found, rest])
+
+
+def _first_round(length: int):
+    """Suffix arrays over the stretches of one route, bucket by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sums, first = (table.column(k).to_numpy() for k in ("did", "sum", "first"))
-        bodies = table.column("body").to_pylist()
-        _, document = np.unique(ids, return_inverse=True)
-        again = repeated(bodies, (document.astype(np.int64) << 40) + first, length)
-        n_windows = np.array([len(x) - length + 1 for x in bodies], np.int64)
-        begins = np.cumsum(n_windows) - n_windows
-        of = np.repeat(np.arange(len(bodies)), n_windows)
-        # Ranges of windows that repeat, stretch by stretch.
-        edge = np.append(True, of[1:] != of[:-1])
-        start = np.flatnonzero(again & (edge | ~np.append(False, again[:-1])))
-        stop = np.flatnonzero(again & (np.append(edge[1:], True) | ~np.append(again[1:], False)))
-        row = of[start]
-        out = [ids[row], sums[row], first[row] + start - begins[row], first[row] + stop - begins[row] + length]
-        columns = [pa.array(x) for x in out] + [pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())]
-        found = pa.table(columns, names=["did", "sum", "start", "end", "h", "first", "body"])
-        if last:
-            return found
-        fresh = np.add.reduceat(~again, begins) > 0
-        on = np.flatnonzero(fresh & (table.column("dealt").to_numpy() > 0))
-        h = table.column("h").to_numpy()
-        rest = pa.table([pa.array(ids[on]), pa.array(sums[on]), pa.nulls(len(on), pa.int64()), pa.nulls(len(on), pa.int64()), pa.array(h[on]), pa.array(first[on]), pa.array([bodies[k] for k in on.tolist()], pa.binary())], names=found.column_names)
-        return pa.concat_tables([found, rest])
+        unpacker = zstandard.ZstdDecompressor()
+        held, texts = [], []
+        for small in table.column("stretches"):
+            body = unpacker.decompress(small.as_buffer().to_pybytes())
+            n, at, columns = int.from_bytes(body[:8], "little"), 8, []
+            for kind in _STRETCH:
+                columns.append(np.frombuffer(body, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+            held.append(columns)
+            texts.append(body[at:])
+        columns = [np.concatenate(x) for x in zip(*held)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = columns[6].astype(np.int64) + length - 1
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(columns[0], kind="stable")
+        columns, begins = [x[order] for x in columns], begins[order]
+        cuts = np.append(np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])), len(order)).tolist()
+        return pa.concat_tables([_bucket([x[s:e] for x in columns], data, begins[s:e], False, length) for s, e in zip(cuts[:-1], cuts[1:])])
 
     return run
 
 
 def _second_round(length: int):
     """Suffix arrays over the stretches that went on, anchor by anchor; ranges pass through."""
-    work = _sorted_bucket(True, length)
     names = ["did", "sum", "start", "end"]
 
+    def work(table: pa.Table) -> pa.Table:
+        bodies = table.column("body").to_pylist()
+        sizes = np.array([len(x) for x in bodies], np.int64)
+        none = np.zeros(len(bodies), np.uint64)
+        columns = [none, none, none, table.column("did").to_numpy(), table.column("sum").to_numpy(), table.column("first").to_numpy(), sizes - length + 1]
+        return _bucket(columns, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, True, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         of = None
@@ -509,8 +568,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = slim.mapInArrow(squeeze, "did long, sum long, text binary")
     by_row = shared.groupBy("did", "sum").agg(F.collect_list("shared").alias("shared"))
     # Both joins have the texts on their left and nothing between, so that the plan shuffles them once.
-    around = _stretches(texts.join(by_row.hint("merge"), ["did", "sum"], "left"), length)
-    once = around.groupBy("bucket").applyInArrow(_sorted_bucket(False, length), _FOUND)
+    routes = max(64, n_anchors // ROUTE)
+    around = _stretches(texts.join(by_row.hint("merge"), ["did", "sum"], "left"), routes, length)
+    once = around.groupBy("route").applyInArrow(_first_round(length), _FOUND)
     # What goes on to the second round meets by its anchor; ranges ride along on their document.
     meet = once.withColumn("k", F.coalesce("h", F.xxhash64("did", "start"))).repartition("k").sortWithinPartitions(F.col("body").isNull(), "k")
     found = meet.mapInArrow(_second_round(length), "did long, sum long, start long, end long")
