@@ -134,3 +134,24 @@ def test_stream_equals_replay(spark, tmp_path):
     query.awaitTermination()
     key = lambda r: (r.session, r.seq, r.value)
     assert sorted(map(key, spark.table("dropped").collect())) == sorted(map(key, S.replay(rows, step).collect()))
+
+
+def test_reports(spark):
+    from saltmarsh.operators import reports as N
+
+    docs = spark.createDataFrame([([("a", "/x/y.wav"), ("b", None)],)], "samples array<struct<id:string,audio_path:string>>")
+    assert [s.audio_path for s in N.repointed(docs, "/out/", "abc").first().samples] == ["/out/y.wav", None]
+    rows = spark.createDataFrame([("a", False), ("b", False)], "id string, transcribed boolean")
+    with pytest.raises(PySparkException, match="nothing was transcribed"):
+        N.transcribed(rows).collect()
+    assert N.transcribed(rows.limit(0)).count() == 0
+    voices = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], [1.0, 0.0]), ([0.0, 1.0], [1.0, 0.0], [1.0, 0.0])], "v array<double>, c array<double>, r array<double>")
+    assert [r.weak for r in N.identity(voices, "v", "c", "r").collect()] == [False, True]
+    tensors = spark.createDataFrame([("embed.weight", [9, 512])], "name string, shape array<int>")
+    assert N.shape_name(tensors, "name", "shape", "^embed", {512: "small"}).first().model == "small"
+    with pytest.raises(PySparkException, match="no known shape"):
+        N.shape_name(tensors, "name", "shape", "^embed", {768: "base"}).collect()
+    judged = spark.createDataFrame([("j", "m")], "judge string, model string")
+    with pytest.raises(PySparkException, match="lineage"):
+        N.independent_judge(judged, "judge", "model", {"j": "x", "m": "x"}).collect()
+    assert spark.range(1).select(N.judge_provenance("m", "e", "t").alias("p")).first().p.model == "m"
