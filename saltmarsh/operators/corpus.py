@@ -45,6 +45,30 @@ def running_offsets(rows: DataFrame, order: str, size: str, buckets: int = 64, w
     return ranged.withColumn("inside_", inside).join(bases, "range_").withColumn("start", F.col("base_") + F.col("inside_")).drop("range_", "base_", "inside_")
 
 
+def numbered(rows: DataFrame, order: Column, key: str, out: str, bucket: Column | None = None, buckets: int = 64) -> DataFrame:
+    """Adds ``out``: the row's number from 0 in order of ``order``, then ``key``, over the whole table.
+
+    Rows are dealt to buckets that follow the order, numbered in each, and moved on by the sizes of those
+    before: no task orders the whole table. ``bucket`` is by default cut at approximate quantiles of a
+    numeric ``order``, computed once; a column of hex digits gives its own leading ones.
+    """
+    if bucket is None:
+        cuts = rows.select(order.cast("double").alias("o")).approxQuantile("o", [k / buckets for k in range(1, buckets)], 0.005)
+        bucket = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<double>"), lambda x: x < order.cast("double")))
+    dealt = rows.withColumn("o_", order).withColumn("bucket_", bucket)
+    sizes = dealt.groupBy("bucket_").agg(F.count("*").alias("in_"))
+    before = F.coalesce(F.sum("in_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select(F.col("bucket_").alias("b_"), before.alias("base_"))
+    within = F.row_number().over(Window.partitionBy("bucket_").orderBy("o_", key)) - 1
+    placed = dealt.withColumn("within_", within).join(bases, F.col("bucket_").eqNullSafe(F.col("b_")))
+    return placed.withColumn(out, F.col("within_") + F.col("base_")).drop("o_", "bucket_", "b_", "within_", "base_")
+
+
+def sized(rows: DataFrame, out: str) -> DataFrame:
+    """Adds the number of rows of the table."""
+    return rows.join(F.broadcast(rows.agg(F.count("*").alias(out))))
+
+
 def packed_blocks(rows: DataFrame, order: str, tokens: str, block: int) -> DataFrame:
     """(block, first, last, texts) of full blocks of ``block`` + 1 tokens when each text ends in one more token."""
     placed = running_offsets(rows.withColumn("n_", F.col(tokens) + 1), order, "n_")
@@ -92,23 +116,22 @@ def window_shuffle(rows: DataFrame, group: str, key: str, buffer_groups: int = 2
 
 def ceil_strata(rows: DataFrame, order: str, key: str, strata: int = 5) -> DataFrame:
     """Adds stratum: chunks of ceil(n / strata) rows in order, so the last may be short."""
-    n = F.count("*").over(Window.partitionBy())
-    rn = F.row_number().over(Window.orderBy(order, key))
-    return rows.withColumn("stratum", F.floor((rn - 1) / F.ceil(n / strata)))
+    placed = sized(numbered(rows, F.col(order), key, "at_"), "n_")
+    return placed.withColumn("stratum", F.floor(F.col("at_") / F.ceil(F.col("n_") / strata))).drop("at_", "n_")
 
 
 def rotated(rows: DataFrame, order: str, value: str, shift: int) -> DataFrame:
     """Adds ``swapped``: the value ``shift`` rows on, round the end; nobody keeps the own while n does not divide it."""
-    numbered = rows.withColumn("rn_", F.row_number().over(Window.orderBy(order)) - 1).withColumn("n_", F.count("*").over(Window.partitionBy()))
-    other = numbered.select(F.col("rn_").alias("at_"), F.col(value).alias("swapped"))
-    return numbered.join(other, F.pmod(F.col("rn_") + shift, F.col("n_")) == F.col("at_")).drop("rn_", "n_", "at_")
+    placed = sized(numbered(rows, F.col(order), order, "rn_"), "n_")
+    other = placed.select(F.col("rn_").alias("at_"), F.col(value).alias("swapped"))
+    return placed.join(other, F.pmod(F.col("rn_") + shift, F.col("n_")) == F.col("at_")).drop("rn_", "n_", "at_")
 
 
 def held_out_split(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Adds held_out: the first floor(n * share) rows by the order of a hash."""
-    rn = F.row_number().over(Window.orderBy(hash_rank(F.lit(seed), F.col(key)), key))
-    n = F.count("*").over(Window.partitionBy())
-    return rows.withColumn("held_out", rn <= F.floor(n * share))
+    rank = hash_rank(F.lit(seed), F.col(key))
+    placed = sized(numbered(rows, rank, key, "at_", bucket=F.substring(rank, 1, 2)), "n_")
+    return placed.withColumn("held_out", F.col("at_") < F.floor(F.col("n_") * share)).drop("at_", "n_")
 
 
 def drawn_pairs(drafts: DataFrame, item: str, draft: str, text: str, k: int, max_gap: int | None = None, seed: int = 0) -> DataFrame:
