@@ -270,13 +270,15 @@ def common_prefix(seven: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     """Lengths, up to ``most``, of the common prefixes of suffixes a[k] and b[k]."""
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    for w in range(-(-most // 7)):
-        x, y = seven[a[live] + 7 * w], seven[b[live] + 7 * w]
-        for k in range(7):
-            out[live] += (x >> np.uint64(9 * (6 - k))) == (y >> np.uint64(9 * (6 - k)))
-        live = live[x == y]
-        if not len(live):
-            break
+    words = -(-most // 7)
+    for w in range(words):
+        differ = seven[a[live] + 7 * w] ^ seven[b[live] + 7 * w]
+        ended = np.flatnonzero(differ)
+        if len(ended):
+            left = differ[ended]
+            out[live[ended]] = 7 * w + sum((left >> np.uint64(9 * (6 - k)) == 0).astype(np.int64) for k in range(7))
+            live = live[differ == 0]
+    out[live] = 7 * words
     return np.minimum(out, most)
 
 
