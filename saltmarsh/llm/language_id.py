@@ -15,12 +15,12 @@ other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ SMOOTHING = 0.1
 PENALTY = 4.0
 ROUNDS = 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = ASCII_LOWER.copy()
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 
@@ -106,10 +106,10 @@ def held_out(doc_id):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Languages:
     """Distributions of the languages of at most ``fit_rows`` rows that are not held out."""
     key, lang = F.col(id_col), F.col(lang_col)
-    usable = docs.where(key.isNotNull() & lang.isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
-    chosen = usable.select(key.cast("long").alias("fit_id")).distinct().orderBy(F.xxhash64("fit_id"), "fit_id").limit(fit_rows)
-    rows = usable.join(F.broadcast(chosen), key == F.col("fit_id"), "left_semi")  # fit_rows numbers
-    slim = rows.select(lang.cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).repartition(8)
+    learnable = docs.where(key.isNotNull() & lang.isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
+    usable = learnable.select(key.cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    chosen = usable.select(F.col("doc_id").alias("fit_id")).distinct().orderBy(F.xxhash64("fit_id"), "fit_id").limit(fit_rows)
+    slim = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id"), "left_semi").select("lang", "text").repartition(8)  # fit_rows numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
             for first, end, data, offsets in slices(batch.column(1)):
                 for k in range(end - first):
                     body = data[offsets[k] : offsets[k + 1]]
-                    if not names or not _LETTER.search(body.tobytes().decode()):
+                    if not names or not _LETTER.search(body.tobytes().decode(errors="replace")):
                         chosen, shares = [], np.zeros(1)
                     else:
                         chosen, shares = model.mixture(*gram_counts(body))

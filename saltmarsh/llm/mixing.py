@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saltmarsh.llm._text import safe_name
 from saltmarsh.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,7 +119,7 @@ def pareto_mix(
     placed = second.join(cuts, "skey", "left")
     # Only the rows of one bin in BINS * BINS of a source are ranked one by one.
     edge = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
-    order = Window.partitionBy("skey").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_b1") + F.col("before_b2") + F.coalesce(F.sum("size").over(order), F.lit(0))
     straddling = placed.where(edge).withColumn("drawn", (before + F.col("size") / 2 <= F.col("missing")).cast("int"))
     below = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
@@ -141,4 +142,6 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     counts = pareto_mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("n_copies"))
     joined = docs.alias("d").join(counts.alias("c"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.doc_id")))
-    return joined.where(F.col("c.n_copies") > 0).select(F.explode(F.sequence(F.lit(1), F.col("c.n_copies").cast("int"))).alias("copy_no_"), *[F.col(f"d.`{x}`") for x in docs.columns]).drop("copy_no_")
+    number = safe_name(docs.columns, "copy_no")
+    copies = F.explode(F.sequence(F.lit(1), F.col("c.n_copies").cast("int"))).alias(number)
+    return joined.where(F.col("c.n_copies") > 0).select(copies, *[F.col(f"d.`{x}`") for x in docs.columns]).drop(number)

@@ -36,7 +36,7 @@ drawn AS (
 ranked AS (
   SELECT *, CASE WHEN leaning > 0 THEN (u / (1 - u)) * ((1 - p) / p) ELSE 1.0 END AS odds FROM drawn),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY odds, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM ranked)
 SELECT doc_id, size, source_size, target,
        ((whole + CASE WHEN missing > 0 AND before + size / 2.0::DOUBLE <= missing THEN 1 ELSE 0 END) * size)::BIGINT AS taken

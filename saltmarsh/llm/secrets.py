@@ -184,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 s, e = runs(_B64[data], offsets)
                 coded = set((np.searchsorted(offsets, s[e - s >= CANDIDATE], side="right") - 1).tolist())
                 for k in range(end - first):
-                    text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+                    text = data[offsets[k] : offsets[k + 1]].tobytes().decode(errors="replace")
                     # PEM lines and tokens hold runs of CANDIDATE base64 characters, as do all other candidates.
                     spans = spans_of(text, k in coded, k in hexed)
                     base = [x for x in spans if x[1] < 3]

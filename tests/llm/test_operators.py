@@ -250,11 +250,11 @@ def test_simhash_blocks_and_links():
 def test_language(spark):
     rng = random.Random(13)
     rows = [(k, words(rng, 60, "abcde" if k % 2 else "uvwxy"), "aa" if k % 2 else "uu", "s") for k in range(90)]
-    rows += [(200, None, "aa", "s"), (201, "123 !?", "uu", "s"), (202, words(rng, 40, "abcde"), None, "s"), (None, words(rng, 40, "uvwxy"), "aa", "s"), (203, "a", "aa", "s")]
-    docs = table(spark, rows)
+    rows += [(200, None, "aa", "s"), (201, "123 !?", "uu", "s"), (202, words(rng, 40, "abcde"), None, "s"), (None, words(rng, 40, "uvwxy"), "aa", "s"), (203, "a", "aa", "s"), (204, "½ ② Ⅷ", "uu", "s")]
+    docs = table(spark, rows).withColumn("fit_id", F.lit(1))
     got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
     assert all(got[i].lang_pred == lang for i, t, lang, _ in rows[:90])
-    assert got[200].lang_pred == got[201].lang_pred == "und" and got[202].lang_pred == "aa" and got[None].lang_pred == "uu"
+    assert got[200].lang_pred == got[201].lang_pred == got[204].lang_pred == "und" and got[202].lang_pred == "aa" and got[None].lang_pred == "uu"
     assert all(0 <= r.score <= 1 for r in got.values())
     mixed = table(spark, [(1, words(rng, 80, "abcde") + " " + words(rng, 80, "uvwxy"), None, None)])
     assert sorted(language_id.predict(mixed, language_id.train(docs)).first().languages) == ["aa", "uu"]
@@ -298,6 +298,8 @@ def test_mixing(spark, odd_rows):
     docs = table(spark, rows)
     got = mixing.pareto_mix(docs).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.pareto_mix(docs.repartition(7)).collect()), key=repr)
+    tied = table(spark, [(None, words(rng, rng.randint(3000, 3040)), "en", "ab"[k % 2]) for k in range(40)])
+    assert [sorted(r.taken for r in mixing.pareto_mix(tied.repartition(n)).collect()) for n in (2, 5)] == [sorted(r.taken for r in mixing.pareto_mix(tied).collect())] * 2
     assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
     total = sum(r.size for r in got)
     by = {}
@@ -307,7 +309,8 @@ def test_mixing(spark, odd_rows):
         t[1] = max(t[1], r.size)
     assert sum(t for _, t in by) == pytest.approx(total)
     assert all(abs(taken - target) <= largest for (_, target), (taken, largest) in by.items())
-    assert mixing.mix_rows(docs).columns == docs.columns
+    named = docs.withColumn("copy_no", F.lit(1))
+    assert mixing.mix_rows(named).columns == named.columns
     assert mixing.pareto_mix(docs.limit(0)).count() == 0
 
 
