@@ -108,7 +108,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     label = F.nullif(F.regexp_extract("value", r"^=====\s+(\S+).*=====\s*$", 1), F.lit(""))
-    run = F.last(label, ignorenulls=True).over(Window.partitionBy("file").orderBy("line"))
+    run = F.last(label, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     point = r"Epoch:\[(\d+)/\d+\]\((\d+)/(\d+)\)"
     numbers = [F.regexp_extract("value", rf"\b{name}:\s*([-+.\deE]+)", 1) for name in ("loss", "text", "audio", "lr")]
     found = lines.withColumn("run", run).where(F.col("value").rlike(point))
