@@ -10,9 +10,13 @@ The method adds spans whose contents hold up when decoded:
 
 * ``jwt``: three base64url parts of which the first is a JSON object with an ``alg`` and the second a JSON object;
 * ``der``: base64 (with or without PEM lines) or hex that decodes to a key encoding: a DER sequence whose
-  nested lengths fill it exactly and which holds a version or algorithm and key material;
+  nested lengths fill it exactly and which holds a version or algorithm and key material; or the whole cipher
+  blocks between PEM lines whose headers say that they are encrypted;
 * ``ssh``: base64 of an OpenSSH private key, or of a wire-format key whose length-prefixed strings fill it.
 
+Base64 is of either alphabet, and may be wrapped by white space or by ``\\n`` as JSON escapes it. It starts where no
+letter or digit stands before it and goes as far as the lengths inside it say.
+
 Spans are (kind, start, end) in code points, end exclusive; base spans do not overlap within a kind.
 
 Defined cases: null and empty texts have no span; texts of any length are scanned whole; repeated rows
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -44,8 +49,18 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Names that must stand, in either case, somewhere in a text with an ``assign`` span.
 NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=])")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+#: How base64 of a key starts: a DER sequence whose first item is an integer or a sequence, or an SSH key.
+KEY_START = re.compile(r"M(?:[A-H][AEIMQUYcgkosw048][Cw]|I[E-T])|AAA[A-P]|b3BlbnNzaC1rZXktdjE")
+RUNS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"))
+#: What may stand between two lines of base64: white space, also as escaped in JSON.
+BREAK = re.compile(r"(?:\s|\\+[nrt])+")
+ESCAPED = re.compile(r"\\+(?:u00([0-9A-Fa-f]{2})|/)")
+PADDING = re.compile(r"(?:=|\\+u003[dD]){0,2}")
+#: Quotes, and string literals that a program joins, around the lines of a PEM body.
+QUOTED = re.compile(r"""["'](?:\s*\+)?|,$""", re.MULTILINE)
+HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):(.*)$", re.MULTILINE)
+KEY_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)")
 HEX_BODY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 #: A run of this many base64 characters may hold a candidate.
 CANDIDATE = 24
@@ -91,7 +106,9 @@ def is_der_key(body: bytes) -> bool:
     material = max((len(c) for t, c in inner if t in (0x02, 0x03, 0x04)), default=0)
     traditional = len(tags) >= 2 and tags[0] == 0x02 and (set(tags[1:]) & {0x02, 0x04, 0x30})
     public = len(tags) == 2 and tags[0] == 0x30 and tags[1] == 0x03
-    return bool(material >= 16 and (traditional or public))
+    # An algorithm with a sequence of parameters, as encryption by password has it; a digest has none.
+    encrypted = tags == [0x30, 0x04] and [t for t, _ in der_items(inner[0][1]) or []] == [0x06, 0x30]
+    return bool(material >= 16 and (traditional or public or encrypted))
 
 
 def is_ssh_key(body: bytes) -> bool:
@@ -110,7 +127,7 @@ def is_ssh_key(body: bytes) -> bool:
             return False
         parts.append(body[at : at + size])
         at += size
-    return len(parts) >= 2 and re.match(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)", parts[0]) is not None
+    return len(parts) >= 2 and KEY_TYPE.match(parts[0]) is not None
 
 
 def decoded(text: str) -> bytes | None:
@@ -133,21 +150,142 @@ def is_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
+class Body:
+    """Base64 from a place of a text on, over breaks and escapes, decoded as far as it is asked for."""
+
+    def __init__(self, text: str, at: int, run: re.Pattern):
+        self.text, self.run, self.at = text, run, at
+        self.data, self.n = b"", 0
+        self.pieces: list[str] = []
+        self.places: list[tuple[int, int, int]] = []  # characters up to the piece's end, its start and end in the text
+
+    def has(self, n: int) -> bool:
+        """Whether ``n`` bytes can be decoded; then ``data`` holds them."""
+        if n > len(self.data) and n <= len(self.text):
+            want = (2 * n * 4 + 2) // 3
+            while self.n < want:
+                if m := self.run.match(self.text, self.at, self.at + want - self.n):
+                    piece = m[0]
+                elif m := ESCAPED.match(self.text, self.at):
+                    piece = chr(int(m[1], 16)) if m[1] else "/"
+                    if not self.run.match(piece):
+                        break
+                elif self.pieces and (m := BREAK.match(self.text, self.at)):
+                    self.at = m.end()
+                    continue
+                else:
+                    break
+                self.n += len(piece)
+                self.pieces.append(piece)
+                self.places.append((self.n, m.start(), m.end()))
+                self.at = m.end()
+            coded = "".join(self.pieces)
+            self.data = decoded(coded[: len(coded) - (len(coded) % 4 == 1)]) or b""
+        return n <= len(self.data)
+
+    def end(self, n: int) -> int | None:
+        """Where the first ``n`` bytes and their padding end in the text, if base64 ends there or a line does."""
+        count = (n * 4 + 2) // 3
+        upto, _, end = self.places[bisect.bisect_left(self.places, (count,))]
+        end -= upto - count
+        padded = PADDING.match(self.text, end).end()
+        return None if padded == end and self.run.match(self.text, end) else padded
+
+    def number(self, at: int) -> int:
+        return int.from_bytes(self.data[at : at + 4], "big")
+
+
+def der_end(body: Body) -> int | None:
+    """Where the DER key at the start of ``body`` ends in the text."""
+    if not body.has(24) or body.data[0] != 0x30:
+        return None
+    n = body.data[1] & 0x7F if body.data[1] & 0x80 else 0
+    if n > 4:
+        return None
+    size = int.from_bytes(body.data[2 : 2 + n], "big") if n else body.data[1]
+    size += 2 + n
+    if body.data[2 + n] not in (0x02, 0x30) or not body.has(size) or not is_der_key(body.data[:size]):
+        return None
+    return body.end(size)
+
+
+def ssh_end(body: Body) -> int | None:
+    """Where the SSH key at the start of ``body`` ends in the text."""
+    at, count, best = 0, 0, None
+    whole = body.has(19) and body.data.startswith(b"openssh-key-v1\0")
+    if whole:
+        if not is_ssh_key(body.data):
+            return None
+        at = 15
+        best = body.run.match(body.text, body.places[0][1]).end()
+        best = PADDING.match(body.text, best).end()
+    last = 0
+    while body.has(at + 4):
+        size = body.number(at)
+        if whole and count == 3:  # the number of public keys, which the private part follows
+            last, size = count + size + 2, 0
+        if not body.has(at + 4 + size):
+            break
+        if not whole and count == 0 and not KEY_TYPE.match(body.data[4 : 4 + size]):
+            return None
+        at += 4 + size
+        count += 1
+        if whole and count == last:
+            return body.end(at) or best
+        if not whole and count >= 2:
+            best = body.end(at) or best
+    return best
+
+
+def armoured(inner: str) -> int | None:
+    """The number of the kind of what stands between PEM lines."""
+    inner = re.sub(r"\\+[nrt]", "\n", inner)
+    inner = ESCAPED.sub(lambda m: chr(int(m[1], 16)) if m[1] else "/", inner)
+    headers = {m[1].lower(): m[2] for m in HEADER.finditer(inner)}
+    body = decoded(QUOTED.sub("", HEADER.sub("", inner)))
+    if not body:
+        return None
+    if "ENCRYPTED" in headers.get("proc-type", "") and "dek-info" in headers:
+        return 4 if len(body) % 8 == 0 else None  # whole blocks of a cipher
+    return 4 if is_der_key(body) else 5 if is_ssh_key(body) else None
+
+
+def confirmed_spans(text: str, candidates: bool = True) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of what decodes to a key or token."""
     out = []
-    if "." in text:
+    if candidates and "." in text:
         out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
-    for pattern in (PEM, BASE64, HEX_BODY):
-        if pattern is PEM and "-----BEGIN " not in text:
+    if "-----BEGIN " in text:
+        for m in BEGIN.finditer(text):
+            close = text.find("-----", m.end())
+            line = f"-----END {m[1]}-----"
+            if close >= 0 and text.startswith(line, close) and (kind := armoured(text[m.end() : close])):
+                out.append((m.start(), kind, close + len(line)))
+    taken = sorted((s, e) for s, _, e in out)
+    past = 0
+    for m in KEY_START.finditer(text):
+        at = m.start()
+        before = text[at - 1 : at]
+        if at < past or (before.isascii() and before.isalnum() and text[max(at - 2, 0) : at] not in ("\\n", "\\r", "\\t")):
+            continue
+        k = bisect.bisect_right(taken, (at, len(text))) - 1
+        if k >= 0 and taken[k][1] > at:
             continue
-        for m in pattern.finditer(text):
+        for run in RUNS:
+            body = Body(text, at, run)
+            kind, end = (4, der_end(body)) if m[0][0] == "M" else (5, ssh_end(body))
+            if end is not None:
+                out.append((at, kind, end))
+                past = end
+                break
+    if candidates:
+        for m in HEX_BODY.finditer(text):
             if any(s < m.end() and m.start() < e for s, _, e in out):
                 continue
-            body = bytes.fromhex(m[0]) if pattern is HEX_BODY else decoded(m[2] if pattern is PEM else m[0])
-            if body and is_der_key(body):
+            body = bytes.fromhex(m[0])
+            if is_der_key(body):
                 out.append((m.start(), 4, m.end()))
-            elif body and is_ssh_key(body):
+            elif is_ssh_key(body):
                 out.append((m.start(), 5, m.end()))
     return out
 
@@ -161,9 +299,7 @@ def spans_of(text: str, candidates: bool = True, hex_run: bool = True) -> list[t
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     if hex_run:
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LEAST]
-    if candidates:
-        out += confirmed_spans(text)
-    return sorted(out)
+    return sorted(out + confirmed_spans(text, candidates))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -185,7 +321,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 coded = set((np.searchsorted(offsets, s[e - s >= CANDIDATE], side="right") - 1).tolist())
                 for k in range(end - first):
                     text = data[offsets[k] : offsets[k + 1]].tobytes().decode(errors="replace")
-                    # PEM lines and tokens hold runs of CANDIDATE base64 characters, as do all other candidates.
+                    # Tokens and hex keys hold runs of CANDIDATE characters; wrapped base64 may not.
                     spans = spans_of(text, k in coded, k in hexed)
                     base = [x for x in spans if x[1] < 3]
                     counts = np.bincount([x[1] for x in base], minlength=3).tolist() if base else [0, 0, 0]

@@ -124,6 +124,37 @@ def test_secrets(spark, odd_rows):
     assert kinds[300] == ["assign"] and kinds[302] == ["jwt"] and kinds[303] == ["der", "ssh"] and "der" in kinds[304] and kinds[305] == []
 
 
+def test_secrets_reach_real_key_files():
+    der = bytes([0x30, 0x82, 1, 7, 2, 1, 0, 4, 0x82, 1, 0]) + bytes(range(256))
+    locked = bytes([0x30, 55, 0x30, 13, 6, 3, 42, 3, 4, 0x30, 6, 4, 4]) + b"salt" + bytes([4, 38]) + b"\xfb\xff" * 19
+    digest = bytes([0x30, 49, 0x30, 13, 6, 9, 96, 134, 72, 1, 101, 3, 4, 2, 1, 5, 0, 4, 32]) + b"d" * 32
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", b"\0" + b"\xfb\xef" * 128))
+    std, url = base64.b64encode(der).decode(), base64.urlsafe_b64encode(der).decode().rstrip("=")
+    wire = base64.b64encode(ssh).decode()
+    lines = [std[k : k + 64] for k in range(0, len(std), 64)]
+    head, foot = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    escaped = "\\n".join([head, *lines, foot])
+    cipher = base64.b64encode(b"c" * 64).decode()
+    legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{cipher}\n-----END RSA PRIVATE KEY-----"
+    cases = [
+        ("ssl_key=", std, " end", "der"),
+        ("key=", wire, "\n", "ssh"),
+        ("x=", url, "&y", "der"),
+        ('{"private_key": "', escaped, '\\n"}', "der"),
+        ("", legacy, "", "der"),
+        ("k: ", "\n  ".join(lines), "\nend of key", "der"),
+        ('"', "\\n".join(lines), '"', "der"),
+        ('"-----BEGIN PUBLIC KEY-----\\n', "\\n".join(lines), '\\n-----END PUBLIC KEY-----"', "der"),
+        ('{"k":"', std.replace("/", "\\/"), '"}', "der"),
+        ("k=", base64.b64encode(locked).decode(), "", "der"),
+        ("ssh-rsa ", "\n".join(wire[k : k + 70] for k in range(0, len(wire), 70)), " me@host", "ssh"),
+    ]
+    for before, key, after, kind in cases:
+        assert (secrets.KINDS.index(kind), len(before), len(before + key)) in [(k, s, e) for s, k, e in secrets.confirmed_spans(before + key + after)], before
+    for text in (std[:-4], "x" + std, base64.b64encode(digest).decode(), legacy.replace(cipher, cipher[:-8] + "\n")):
+        assert secrets.confirmed_spans(text) == []
+
+
 # 3
 
 
