@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.session import cut
+from saltmarsh.llm._text import safe_name
+from saltmarsh.session import cut, numbered
 
 SEED = 42
 SHINGLE = 3
@@ -60,17 +61,18 @@ def fingerprint(text: bytes) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_cols: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long, and the columns ``long_cols`` as given."""
+    names = ["doc_id", "fp", *long_cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             values = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *long_cols)
+    return slim.mapInArrow(run, ", ".join(f"`{x}` long" for x in names))
 
 
 def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
@@ -140,22 +142,33 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(new)
 
 
+def rooted(distinct: DataFrame) -> DataFrame:
+    """The rows of ``distinct``, one a fingerprint, with the least fingerprint of their component as ``root``."""
+    roots = components(links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     rows = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = cut(rooted.join(named, "root").select("fp", "component_id"))
+    grouped = rooted(distinct)
+    named = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = cut(grouped.join(named, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but one of each component: the row with the least id stays.
+    """One row of each component, columns as given: that of the least id, null ids last.
 
-    Rows that repeat an id all stay if that id does, so callers that repeat ids remove repeated rows first.
+    Of rows that share that id the one of the least text hash stays, and of equal texts any one.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
+    row = safe_name([*docs.columns, "doc_id", "fp", "text", "hash"], "row_no")
+    hash_ = safe_name([*docs.columns, "doc_id", "fp", "text", row], "text_hash")
+    rows = numbered(docs, row)
+    marked = fingerprints(rows.withColumn(hash_, F.xxhash64(text_col)), id_col, text_col, (hash_, row))
+    # A class and then a component is one row before its rows are compared, however many it has.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(hash_).alias("hash"), F.col(row).alias("row")))
+    grouped = rooted(cut(marked.groupBy("fp").agg(first.alias("first"))))
+    stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays"))
+    return rows.join(stay, rows[row] == stay["stays"], "left_semi").drop(row)

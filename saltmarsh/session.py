@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "saltmarsh", master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,3 +44,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row as column ``name``, written so that every pass sees the same numbers."""
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))

@@ -265,6 +265,17 @@ def test_simhash(spark, odd_rows):
     assert sorted([(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got], key=repr) == brute_groups(rows)
 
 
+def test_keep_one_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(43)
+    a, b, c, d, e = (words(rng, 60) for _ in range(5))
+    rows = [(1, a)] * 3 + [(9, a), (None, b), (None, b), (None, b), (None, c), (7, c), (1, d), (2, d), (4, e), (4, e + "  "), (5, "One"), (5, "other")]
+    for n in (1, 4):
+        docs = table(spark, [(i, t, "en", "s") for i, t in rows]).repartition(n)
+        got = simhash.keep_one(docs)
+        assert got.columns == docs.columns
+        assert sorted([(r.doc_id, r.text.strip()) for r in got.collect()], key=repr) == sorted([(1, a), (None, b), (7, c), (1, d), (4, e), (5, "One"), (5, "other")], key=repr)
+
+
 def test_simhash_blocks_and_links():
     assert len(simhash.BLOCKS) == 14
     for a in range(8):
