@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.llm._text import ASCII_LOWER, rows_of, runs, slices, span_hashes
+from saltmarsh.llm._text import ASCII_LOWER, rows_of, runs, safe_name, slices, span_hashes
+from saltmarsh.session import numbered
 
 WINDOW = 13
 #: A document with hit words is contaminated if they are one in this many or more.
@@ -236,9 +237,24 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with the columns and rows as given (ids that repeat go together)."""
-    bad = judged(scan(docs, benchmark, id_col, text_col)).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")
+    """The documents that are not contaminated, columns as given; each row goes or stays by its own text, whatever its id."""
+    shards = _shards(benchmark, "item_id", "text")
+    first = next(shards)
+    if next(shards, None) is None:
+        automaton, at = SuffixAutomaton(first), docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(automaton)
+            for batch in batches:
+                keep = [not n_hit or COVERAGE * n_hit < n_words for n_words, n_hit, _, _ in scanner.scan(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    # Shards find parts of a row's spans, so their findings meet by a number of the row.
+    row = safe_name(docs.columns, "row_no")
+    rows = numbered(docs, row)
+    bad = judged(scan(rows, benchmark, row, text_col)).where("contaminated").select(F.col("doc_id").alias("goes"))
+    return rows.join(bad, rows[row] == bad["goes"], "left_anti").drop(row)
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -16,7 +16,7 @@ repeated rows score alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,11 @@ class Machine:
         keep = flat > 0
         return self._sum(flat[keep], doc[keep], len(sets))
 
+    def scores(self, column) -> np.ndarray:
+        """The score of each row of a column of texts."""
+        kept = [s[self.number[s] > 0] for s in terms(column)]
+        return 1 / (1 + np.exp(-np.clip(self.logits(kept), -30, 30)))
+
     def _sum(self, flat: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         out = self.w0 + np.bincount(doc, self.w[flat], n)
         for k in range(self.v.shape[1]):
@@ -154,26 +159,40 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(sets, found.column("y").to_numpy()[lead].astype(float))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row of ``docs``."""
+def packed(machine: Machine) -> Callable[[], Machine]:
+    """The machine as it travels, without its empty buckets."""
     used = np.flatnonzero(machine.number)
     numbers, w0, w, v = machine.number[used], machine.w0, machine.w, machine.v
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def load() -> Machine:
         number = np.zeros(1 << BUCKET_BITS, np.int32)
         number[used] = numbers
-        m = Machine(number, w0, w, v)
+        return Machine(number, w0, w, v)
+
+    return load
+
+
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for every row of ``docs``."""
+    load = packed(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load()
         for batch in batches:
-            kept = [s[number[s] > 0] for s in terms(batch.column(1))]
-            scores = 1 / (1 + np.exp(-np.clip(m.logits(kept), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(batch.column(1)))], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return slim.mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that score below ``threshold``, columns as given."""
-    machine = train(docs, labels, id_col, text_col)
-    bad = score(docs, machine, id_col, text_col).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")
+    """The rows that score below ``threshold``, columns as given; each row goes or stays by its own text, whatever its id."""
+    load = packed(train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load()
+        for batch in batches:
+            yield batch.filter(pa.array(m.scores(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

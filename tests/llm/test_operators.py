@@ -319,6 +319,19 @@ def test_toxicity(spark):
     assert all(r.score == 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_rejected_rows_go_by_row(spark):
+    rng = random.Random(47)
+    rows = [(k, words(rng, 60) + (" badword " if k % 5 == 0 else " ") + words(rng, 5), "en", "s") for k in range(400)]
+    odd = [(None, "badword", "en", "s"), (None, "kept", "en", "s"), (0, "kept", "fr", "s"), (1, "badword", "fr", "s")]
+    docs = table(spark, rows + odd)
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(2, 400)], "doc_id long, quality int, toxic int")
+    want = sorted([(i, t) for i, t, *_ in rows + odd if "badword" not in t], key=repr)
+    assert sorted([(r.doc_id, r.text) for r in toxicity.drop_toxic(docs, labels).collect()], key=repr) == want
+    benchmark = spark.createDataFrame([(1, "badword")], "item_id long, text string")
+    few = table(spark, odd)
+    assert sorted([(r.doc_id, r.text) for r in decontaminate.clean(few, benchmark).collect()], key=repr) == [(0, "kept"), (None, "kept")]
+
+
 def test_factors_learn_pairs():
     rng = np.random.default_rng(0)
     sets, y = [], []
