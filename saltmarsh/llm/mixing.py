@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._text import safe_name
-from saltmarsh.session import cut
+from saltmarsh.session import cut, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their names, repeating.
@@ -84,8 +84,9 @@ def pareto_mix(
     weights: tuple[int, ...] = WEIGHTS,
     max_repeat: int = MAX_REPEAT,
     seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(doc_id, size, source_size, target, copies, taken) for every row of ``docs``, and its columns ``keep``.
 
     Short documents have the greater inclusion probability (as 1 / sqrt(1 + words)), so that no few long
     ones fill what a source lacks.
@@ -96,6 +97,7 @@ def pareto_mix(
             F.col(id_col).alias("doc_id"),
             _key(F.col(source_col)).alias("skey"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *keep,
         )
     )
     lean = F.floor(F.lit(10000.0) / F.sqrt(F.lit(1.0) + F.col("size")))
@@ -119,7 +121,7 @@ def pareto_mix(
     placed = second.join(cuts, "skey", "left")
     # Only the rows of one bin in BINS * BINS of a source are ranked one by one.
     edge = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
-    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_b1") + F.col("before_b2") + F.coalesce(F.sum("size").over(order), F.lit(0))
     straddling = placed.where(edge).withColumn("drawn", (before + F.col("size") / 2 <= F.col("missing")).cast("int"))
     below = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
@@ -131,17 +133,16 @@ def pareto_mix(
         "target",
         (F.col("whole") + F.col("drawn")).alias("copies"),
         ((F.col("whole") + F.col("drawn")) * F.col("size")).alias("taken"),
+        *keep,
     )
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it; columns as given.
-
-    Rows are matched to their counts by id; ids that repeat share one decision, that of their first row.
-    """
-    id_col = options.get("id_col", "doc_id")
-    counts = pareto_mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("n_copies"))
-    joined = docs.alias("d").join(counts.alias("c"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.doc_id")))
-    number = safe_name(docs.columns, "copy_no")
+    """The documents themselves, each row as many times as the mix takes it; columns as given."""
+    row = safe_name(docs.columns, "mixed_row_no")
+    rows = numbered(docs, row)
+    counts = pareto_mix(rows, keep=(row,), **options).select(F.col(row).alias("counted"), F.col("copies").alias("n_copies"))
+    number = safe_name([*docs.columns, row, "counted", "n_copies"], "copy_no")
+    joined = rows.alias("d").join(counts.alias("c"), F.col(f"d.`{row}`") == F.col("c.counted")).where(F.col("c.n_copies") > 0)
     copies = F.explode(F.sequence(F.lit(1), F.col("c.n_copies").cast("int"))).alias(number)
-    return joined.where(F.col("c.n_copies") > 0).select(copies, *[F.col(f"d.`{x}`") for x in docs.columns]).drop(number)
+    return joined.select(copies, *[F.col(f"d.`{x}`") for x in docs.columns]).drop(number)

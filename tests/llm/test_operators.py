@@ -369,6 +369,19 @@ def test_mixing(spark, odd_rows):
     assert mixing.pareto_mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_have_their_own_copies(spark):
+    rng = random.Random(53)
+    rows = [(rng.choice([None, k, 3]), f"t{k} " + words(rng, rng.randint(1, 60)), "en", rng.choice(["a", "a", "a", "b", "c"])) for k in range(300)]
+    docs = table(spark, rows)
+    want, got = {}, {}
+    for r in mixing.pareto_mix(docs).collect():
+        want[r.target] = want.get(r.target, 0) + r.taken
+    for r in mixing.mix_rows(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert sorted(got.values()) == sorted(x for x in want.values() if x)
+    assert all(abs(taken - target) <= 62 for target, taken in want.items())
+
+
 # 9
 
 
