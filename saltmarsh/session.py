@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +31,31 @@ def build_session(app: str = "saltmarsh", master: str = "local[*]", shuffle_part
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), under a local temporary one."""
+    """A new folder under spark.checkpoint.dir. Only where that is unset on a local master (tests), a local
+    temporary folder stands in, which goes when the program ends; elsewhere executors could not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="saltmarsh-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="saltmarsh-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = "file://" + base
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/saltmarsh-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a write's shuffle files go as soon as it has ended: what it wrote is read from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, so that later plans start from files.
 
@@ -42,7 +63,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
