@@ -9,10 +9,14 @@ Three base patterns are reported as they match:
 The method adds spans whose contents hold up when decoded:
 
 * ``jwt``: three base64url parts of which the first is a JSON object with an ``alg`` and the second a JSON object;
-* ``der``: base64 (with or without PEM lines) or hex that decodes to a key encoding: a DER sequence whose
-  nested lengths fill it exactly and which holds a version or algorithm and key material; or the whole cipher
-  blocks between PEM lines whose headers say that they are encrypted;
-* ``ssh``: base64 of an OpenSSH private key, or of a wire-format key whose length-prefixed strings fill it.
+* ``der``: base64 (with or without PEM lines) or hex that decodes to a private key: a DER sequence whose nested
+  lengths fill it exactly and which has the fields of an RSA, DSA or EC key, of a PKCS#8 key or of an encrypted
+  one; or the whole cipher blocks between PEM lines whose headers say that they are encrypted;
+* ``ssh``: base64 of an OpenSSH private key: cipher, derivation, public keys and private part, by their lengths;
+* ``public``: a public key, as DER or as length-prefixed strings of SSH. No secret, but what a pattern alone
+  would take for one; callers that want secrets only leave this kind out.
+
+Signatures, certificates' digests and other sequences of numbers are nothing.
 
 Base64 is of either alphabet, and may be wrapped by white space or by ``\\n`` as JSON escapes it. It starts where no
 letter or digit stands before it and goes as far as the lengths inside it say.
@@ -41,7 +45,8 @@ from pyspark.sql import functions as F
 from saltmarsh.llm._text import runs, slices
 
 #: The kinds, in the order that breaks ties.
-KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
+KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "public")
+DER, SSH, PUBLIC = 4, 5, 6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -60,7 +65,8 @@ PADDING = re.compile(r"(?:=|\\+u003[dD]){0,2}")
 #: Quotes, and string literals that a program joins, around the lines of a PEM body.
 QUOTED = re.compile(r"""["'](?:\s*\+)?|,$""", re.MULTILINE)
 HEADER = re.compile(r"^[ \t]*([A-Za-z][A-Za-z0-9-]*):(.*)$", re.MULTILINE)
-KEY_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)")
+KEY_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-|sk-(ssh|ecdsa)-)")
+MAGIC = b"openssh-key-v1\0"
 HEX_BODY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 #: A run of this many base64 characters may hold a candidate.
 CANDIDATE = 24
@@ -94,40 +100,78 @@ def der_items(body: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
     return out
 
 
-def is_der_key(body: bytes) -> bool:
-    """Whether bytes are one DER sequence of a key: integers or an algorithm, then key material."""
+def der_kind(body: bytes) -> int | None:
+    """The kind of the key that bytes are as one DER sequence, by the fields that it has."""
     if len(body) < 24 or body[0] != 0x30:
-        return False
+        return None
     items = der_items(body)
-    if not items or len(items) != 1:
-        return False
-    inner = der_items(items[0][1]) or []
+    inner = der_items(items[0][1]) if items and len(items) == 1 else None
+    if not inner:
+        return None
     tags = [t for t, _ in inner]
-    material = max((len(c) for t, c in inner if t in (0x02, 0x03, 0x04)), default=0)
-    traditional = len(tags) >= 2 and tags[0] == 0x02 and (set(tags[1:]) & {0x02, 0x04, 0x30})
-    public = len(tags) == 2 and tags[0] == 0x30 and tags[1] == 0x03
+    if max((len(c) for t, c in inner if t in (0x02, 0x03, 0x04)), default=0) < 16:
+        return None
+    rest = set(tags[2:])
+    if tags[0] == 0x02 and inner[0][1] in (b"\0", b"\1"):  # a version
+        numbers = set(tags) == {0x02} and len(tags) >= 6  # DSA has six numbers, RSA nine
+        several = tags[:9] == [0x02] * 9 and tags[9:] == [0x30]  # RSA of more than two primes
+        curve = tags[1:2] == [0x04] and rest <= {0xA0, 0xA1}
+        wrapped = tags[1:3] == [0x30, 0x04] and set(tags[3:]) <= {0xA0, 0xA1, 0x81} and _fields(inner[1][1])[:1] == [0x06]
+        return DER if numbers or several or curve or wrapped else None
     # An algorithm with a sequence of parameters, as encryption by password has it; a digest has none.
-    encrypted = tags == [0x30, 0x04] and [t for t, _ in der_items(inner[0][1]) or []] == [0x06, 0x30]
-    return bool(material >= 16 and (traditional or public or encrypted))
+    if tags == [0x30, 0x04] and _fields(inner[0][1]) == [0x06, 0x30]:
+        return DER
+    if tags == [0x30, 0x03] and _fields(inner[0][1])[:1] == [0x06]:
+        return PUBLIC
+    return None
 
 
-def is_ssh_key(body: bytes) -> bool:
-    """Whether bytes are an OpenSSH key: its magic, or strings with lengths that fill it, the first a key type."""
-    if body.startswith(b"openssh-key-v1\0"):
-        body = body[15:]
-        size = int.from_bytes(body[:4], "big") if len(body) >= 4 else -1
-        return 0 <= size <= 64 and len(body) >= 4 + size
-    at, parts = 0, []
-    while at < len(body):
-        if at + 4 > len(body):
-            return False
+def _fields(body: bytes) -> list[int]:
+    return [t for t, _ in der_items(body) or []]
+
+
+def ssh_strings(body: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int]:
+    """Up to ``most`` length-prefixed strings from ``at`` on, and where they end."""
+    parts: list[bytes] = []
+    while (most is None or len(parts) < most) and at + 4 <= len(body):
         size = int.from_bytes(body[at : at + 4], "big")
-        at += 4
-        if at + size > len(body):
-            return False
-        parts.append(body[at : at + size])
-        at += size
-    return len(parts) >= 2 and KEY_TYPE.match(parts[0]) is not None
+        if at + 4 + size > len(body):
+            break
+        parts.append(body[at + 4 : at + 4 + size])
+        at += 4 + size
+    return parts, at
+
+
+def is_wire_key(body: bytes) -> bool:
+    """Whether strings with lengths fill ``body``, the first a key type."""
+    parts, end = ssh_strings(body)
+    return end == len(body) and len(parts) >= 2 and KEY_TYPE.match(parts[0]) is not None
+
+
+def openssh_size(body: bytes) -> int | None:
+    """How many of the bytes are an OpenSSH private key, by all its nested lengths; None if it is none or is cut."""
+    if not body.startswith(MAGIC):
+        return None
+    head, at = ssh_strings(body, len(MAGIC), 3)
+    if len(head) < 3 or not head[0] or at + 4 > len(body):
+        return None
+    count = int.from_bytes(body[at : at + 4], "big")
+    if not 1 <= count <= 16:
+        return None
+    keys, at = ssh_strings(body, at + 4, count + 1)
+    if len(keys) < count + 1 or not all(map(is_wire_key, keys[:-1])):
+        return None
+    private = keys[-1]
+    if len(private) < 16 or len(private) % 8 or (head[0] == b"none" and private[:4] != private[4:8]):
+        return None
+    return at
+
+
+def ssh_kind(body: bytes) -> int | None:
+    """The kind of the key that bytes are in one of the encodings of SSH."""
+    if openssh_size(body) == len(body):
+        return SSH
+    return PUBLIC if is_wire_key(body) else None
 
 
 def decoded(text: str) -> bytes | None:
@@ -145,7 +189,7 @@ def is_token(text: str) -> bool:
     """Whether a dotted text is a signed token: JSON header with ``alg``, JSON claims."""
     try:
         header, claims = (json.loads(decoded(x) or b"") for x in text.split(".")[:2])
-    except ValueError:
+    except (ValueError, RecursionError):  # deeply nested JSON is no header
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
@@ -195,8 +239,8 @@ class Body:
         return int.from_bytes(self.data[at : at + 4], "big")
 
 
-def der_end(body: Body) -> int | None:
-    """Where the DER key at the start of ``body`` ends in the text."""
+def der_end(body: Body) -> tuple[int, int] | None:
+    """The kind of the DER key at the start of ``body`` and where it ends in the text."""
     if not body.has(24) or body.data[0] != 0x30:
         return None
     n = body.data[1] & 0x7F if body.data[1] & 0x80 else 0
@@ -204,37 +248,34 @@ def der_end(body: Body) -> int | None:
         return None
     size = int.from_bytes(body.data[2 : 2 + n], "big") if n else body.data[1]
     size += 2 + n
-    if body.data[2 + n] not in (0x02, 0x30) or not body.has(size) or not is_der_key(body.data[:size]):
+    if body.data[2 + n] not in (0x02, 0x30) or not body.has(size):
         return None
-    return body.end(size)
-
-
-def ssh_end(body: Body) -> int | None:
-    """Where the SSH key at the start of ``body`` ends in the text."""
+    kind = der_kind(body.data[:size])
+    end = body.end(size) if kind else None
+    return None if end is None else (kind, end)
+
+
+def ssh_end(body: Body) -> tuple[int, int] | None:
+    """The kind of the SSH key at the start of ``body`` and where it ends in the text."""
+    if body.has(len(MAGIC)) and body.data.startswith(MAGIC):
+        size, have = None, 256
+        while size is None and body.has(have):
+            size, have = openssh_size(body.data), 2 * have
+        if size is None:
+            body.has(len(body.text))  # all there is
+            size = openssh_size(body.data)
+        end = None if size is None else body.end(size)
+        return None if end is None else (SSH, end)
     at, count, best = 0, 0, None
-    whole = body.has(19) and body.data.startswith(b"openssh-key-v1\0")
-    if whole:
-        if not is_ssh_key(body.data):
-            return None
-        at = 15
-        best = body.run.match(body.text, body.places[0][1]).end()
-        best = PADDING.match(body.text, best).end()
-    last = 0
     while body.has(at + 4):
         size = body.number(at)
-        if whole and count == 3:  # the number of public keys, which the private part follows
-            last, size = count + size + 2, 0
-        if not body.has(at + 4 + size):
+        if not body.has(at + 4 + size) or (count == 0 and not KEY_TYPE.match(body.data[4 : 4 + size])):
             break
-        if not whole and count == 0 and not KEY_TYPE.match(body.data[4 : 4 + size]):
-            return None
         at += 4 + size
         count += 1
-        if whole and count == last:
-            return body.end(at) or best
-        if not whole and count >= 2:
+        if count >= 2:
             best = body.end(at) or best
-    return best
+    return None if best is None else (PUBLIC, best)
 
 
 def armoured(inner: str) -> int | None:
@@ -246,8 +287,8 @@ def armoured(inner: str) -> int | None:
     if not body:
         return None
     if "ENCRYPTED" in headers.get("proc-type", "") and "dek-info" in headers:
-        return 4 if len(body) % 8 == 0 else None  # whole blocks of a cipher
-    return 4 if is_der_key(body) else 5 if is_ssh_key(body) else None
+        return DER if len(body) % 8 == 0 else None  # whole blocks of a cipher
+    return der_kind(body) or ssh_kind(body)
 
 
 def confirmed_spans(text: str, candidates: bool = True) -> list[tuple[int, int, int]]:
@@ -273,20 +314,17 @@ def confirmed_spans(text: str, candidates: bool = True) -> list[tuple[int, int,
             continue
         for run in RUNS:
             body = Body(text, at, run)
-            kind, end = (4, der_end(body)) if m[0][0] == "M" else (5, ssh_end(body))
-            if end is not None:
-                out.append((at, kind, end))
-                past = end
+            if found := der_end(body) if m[0][0] == "M" else ssh_end(body):
+                kind, past = found
+                out.append((at, kind, past))
                 break
     if candidates:
         for m in HEX_BODY.finditer(text):
             if any(s < m.end() and m.start() < e for s, _, e in out):
                 continue
             body = bytes.fromhex(m[0])
-            if is_der_key(body):
-                out.append((m.start(), 4, m.end()))
-            elif is_ssh_key(body):
-                out.append((m.start(), 5, m.end()))
+            if kind := der_kind(body) or ssh_kind(body):
+                out.append((m.start(), kind, m.end()))
     return out
 
 
