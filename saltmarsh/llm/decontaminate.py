@@ -10,12 +10,14 @@ Words come from whole-array operations on the bytes; those unknown to every item
 to its start, so only runs of known words that could hold a window are streamed one by one (and compared
 as bytes, not as hashes).
 
-Items are read in shards of at most ``SHARD_WORDS`` words, one automaton each; a document's hits are the
-union over the shards. What a task holds is bounded by a shard.
+Items are read in shards of at most ``SHARD_WORDS`` words (an item of more is a shard of its own), one automaton
+each; a document's hits are the union over the shards. Shards follow one another: the documents are scanned once
+for each, and what was hit is written before the next is read, so that driver and tasks hold one shard.
 
 Defined cases: a null text has no words; an item without words has no window; a null item id cannot be
 listed, so its windows are hit but it is not counted; an id that repeats counts once; a document
-without words is clean; other columns are kept by ``clean`` and not read otherwise.
+without words is clean; repeated rows are found alike; without documents the result is empty, without items no
+word is hit; other columns are kept by ``clean`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm._text import ASCII_LOWER, rows_of, runs, safe_name, slices, span_hashes
-from saltmarsh.session import numbered
+from saltmarsh.session import cut, numbered
 
 WINDOW = 13
 #: A document with hit words is contaminated if they are one in this many or more.
@@ -188,11 +190,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     schema = "doc_id long, row_ long, n_words long, spans array<struct<start:int,end:int,first_word:int,end_word:int>>, items array<string>"
     kind = pa.schema([("doc_id", pa.int64()), ("row_", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "end", "first_word", "end_word")]))), ("items", pa.list_(pa.string()))])
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    parts = []
-    for shard in _shards(benchmark, item_col, item_text_col):
-        automaton = SuffixAutomaton(shard, window)
 
-        def run(batches, automaton=automaton):  # sent as a broadcast: at most SHARD_WORDS words
+    def over(rows: DataFrame, automaton: SuffixAutomaton, hits_only: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the automaton goes along as a broadcast
             scanner = Scanner(automaton)
             for batch in batches:
                 n, spans, items = [], [], []
@@ -200,21 +200,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     n.append(n_words)
                     spans.append([dict(zip(("start", "end", "first_word", "end_word"), x)) for x in where])
                     items.append(sorted(found - {None}))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_"), pa.array(n, pa.int64()), pa.array(spans, kind.field("spans").type), pa.array(items, kind.field("items").type)], schema=kind)
+                out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_"), pa.array(n, pa.int64()), pa.array(spans, kind.field("spans").type), pa.array(items, kind.field("items").type)], schema=kind)
+                yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else out
 
-        parts.append((slim, run))
-    if len(parts) == 1:
-        return slim.withColumn("row_", F.lit(0).cast("long")).mapInArrow(parts[0][1], schema).drop("row_")
+        return rows.mapInArrow(run, schema)
+
+    shards = _shards(benchmark, item_col, item_text_col)
+    first, second = SuffixAutomaton(next(shards), window), next(shards, None)
+    if second is None:
+        return over(slim.withColumn("row_", F.lit(0).cast("long")), first, False).drop("row_")
     # Rows are told apart by id and text, so that each shard's finding joins its own row's.
     counted = slim.withColumn("row_", F.xxhash64("doc_id", "text"))
-    found = None
-    for _, run in parts:
-        part = counted.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
+    base = cut(over(counted, first, False))
+    found = base
+    while second is not None:
+        found = found.unionByName(cut(over(counted, SuffixAutomaton(second, window), True)))
+        second = next(shards, None)
     hit = found.where(F.size("items") + F.size("spans") > 0)
     merged = hit.groupBy("doc_id", "row_").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    base = counted.mapInArrow(parts[0][1], schema).select("doc_id", "row_", "n_words")
-    joined = base.alias("b").join(merged.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.row_") == F.col("m.row_")), "left")
+    joined = base.select("doc_id", "row_", "n_words").alias("b").join(merged.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.row_") == F.col("m.row_")), "left")
     spans = F.coalesce(F.col("m.spans"), F.array().cast(kind_spans := "array<struct<start:int,end:int,first_word:int,end_word:int>>"))
     # Spans of several shards may overlap: sweep them into disjoint ones.
     swept = F.aggregate(
