@@ -2,11 +2,19 @@
 
 A document's fingerprint has the bits set in over half of the XXH64 values (seed 42) of its shingles of
 three words, repeats included. Two fingerprints link at ``MAX_BITS`` or fewer differing bits. So they
-differ in at most three of their eight bytes and share five or more, each at its own position. The index
-lists fingerprints by four bytes and their positions. Its 14 position sets are the blocks of a Steiner
-quadruple system on eight points, whose complements hold every triple of positions, so that whichever
-bytes differ, one set avoids them all. In a list, the shared positional bytes of a pair are tallied, pairs
-with fewer than five go, and the differing bits of the rest are counted.
+differ in at most three of their eight bytes and share five or more, each at its own position: the guaranteed
+minimum of matches. Postings of single positional bytes would hold one fingerprint in 256 each, and their pairs
+grow with the square of that; so the index posts four positional bytes at a time, and 14 such postings are
+enough. Its position sets are the blocks of a Steiner quadruple system on eight points, whose complements hold
+every triple of positions, so that whichever bytes differ, one set avoids them all. In a list, the shared
+positional bytes of a pair are tallied, pairs with fewer than five go, and the differing bits of the rest are
+counted.
+
+Lists are read as streams, sorted by posting. One of more than ``LIST_MOST`` fingerprints is not compared as a
+whole: its fingerprints are posted again with a fifth positional byte, each of the other four in turn, as linked
+ones share one of those. What then shares a list differs in 24 bits at most, of which there are ``2 ** 24``
+fingerprints, and neighbours are looked up by flipping up to three of the bits, so that time is in proportion to
+the list.
 
 Equal fingerprints are one class before all that; a list gives the links of a spanning forest of its
 linked fingerprints rather than all pairs, and components are found by alternating star contractions,
@@ -20,6 +28,7 @@ component, which is null if all its ids are; repeated rows are rows of one class
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +48,8 @@ MIN_SHARED = 8 - MAX_BITS
 BLOCKS = sorted({tuple(sorted((a, b, c, a ^ b ^ c))) for a in range(8) for b in range(a) for c in range(b)})
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
+#: Fingerprints of one list of four bytes; longer lists are divided by a fifth.
+LIST_MOST = 4096
 
 
 def fingerprint(text: bytes) -> int:
@@ -75,25 +86,96 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, ", ".join(f"`{x}` long" for x in names))
 
 
+def _near_pairs(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Which of ``rest`` are linked to one of ``front``, pair by pair."""
+    found = np.zeros(len(rest), bool)
+    step = max(1, (1 << 18) // len(rest))
+    for k in range(0, len(front), step):
+        differ = front[k : k + step, None] ^ rest[None, :]
+        shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
+        _, at = np.nonzero(shared >= MIN_SHARED)
+        near = np.bitwise_count(differ[shared >= MIN_SHARED]) <= MAX_BITS
+        found[at[near]] = True
+    return found
+
+
+def _near_flips(front: np.ndarray, rest: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """Which of ``rest`` (ascending) are linked to one of ``front``, by flipped bits."""
+    found = np.zeros(len(rest), bool)
+    for k in range(0, len(front), 64):
+        wanted = (front[k : k + 64, None] ^ flips[None, :]).ravel()
+        at = np.minimum(np.searchsorted(rest, wanted), len(rest) - 1)
+        found[at[rest[at] == wanted]] = True
+    return found
+
+
 def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of one list that are linked, directly or through others."""
     links = []
     rest = np.unique(values)
+    free = int(np.bitwise_or.reduce(rest ^ rest[0])) if len(rest) else 0
+    bits = [1 << b for b in range(64) if free >> b & 1]
+    n = len(bits)
+    few = n + n * (n - 1) // 2 + n * (n - 1) * (n - 2) // 6 < len(rest)
+    flips = np.array([sum(x) for k in (1, 2, 3) for x in combinations(bits, k)], np.uint64) if few else None
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         front = np.array([root], np.uint64)
         while len(front) and len(rest):
-            found = np.zeros(len(rest), bool)
-            step = max(1, (1 << 20) // len(rest))
-            for k in range(0, len(front), step):
-                differ = front[k : k + step, None] ^ rest[None, :]
-                shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
-                found |= ((shared >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)).any(axis=0)
+            found = _near_pairs(front, rest) if flips is None or len(rest) < len(flips) else _near_flips(front, rest, flips)
             front, rest = rest[found], rest[~found]
             links += [(int(root), int(x)) for x in front]
     return links
 
 
+def _lists(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(posting, fingerprints, whether that is its whole list) of (key, fp) sorted by key; single ones are left out.
+
+    A list of over ``most`` comes in parts.
+    """
+    key, held, size, over = None, [], 0, False
+
+    def done() -> Iterator[tuple[int, np.ndarray, bool]]:
+        if over or size > 1:
+            yield key, np.concatenate(held), not over
+
+    for batch in batches:
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        wide = np.flatnonzero(np.diff(cuts) > 1).tolist()
+        for k in sorted({0, len(cuts) - 2, *wide}):
+            s, e = int(cuts[k]), int(cuts[k + 1])
+            if keys[s] != key:
+                yield from done()
+                key, held, size, over = keys[s], [], 0, False
+            held.append(fps[s:e])
+            size += e - s
+            if most is not None and size > most:
+                over = True
+                yield key, np.concatenate(held), False
+                held, size = [np.zeros(0, np.uint64)], 0
+    yield from done()
+
+
+def _linked(posted: DataFrame, most: int | None) -> DataFrame:
+    """(a, b, key, fp): the links of each list of (key, fp), or its postings where it is longer than ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "key", "fp"]
+        for key, fps, whole in _lists(batches, most):
+            if whole:
+                ends = np.array(spanning_links(fps), np.uint64).reshape(-1, 2).view(np.int64)
+                none = pa.nulls(len(ends), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none], names)
+            else:
+                none = pa.nulls(len(fps), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(fps), key, np.int64)), pa.array(fps.view(np.int64))], names)
+
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long, fp long")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b), a < b as unsigned: links whose components are those of all pairs within ``MAX_BITS``."""
     fp = F.col("fp")
@@ -101,23 +183,20 @@ def links(distinct: DataFrame) -> DataFrame:
     def byte(k: int):
         return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF))
 
-    keys = []
+    keys, more = [], []
     for number, block in enumerate(BLOCKS):
         key = F.lit(number).cast("long")
         for k in block:
             key = F.shiftleft(key, 8).bitwiseOR(byte(k))
         keys.append(key)
-    listed = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for row in batch.column(0):
-                found += spanning_links(row.values.to_numpy(zero_copy_only=False).view(np.uint64))
-            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-    return listed.where(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long").distinct()
+        more.append(F.array(*[F.shiftleft(F.shiftleft(F.col("key"), 3).bitwiseOR(F.lit(k).cast("long")), 8).bitwiseOR(byte(k)) for k in range(8) if k not in block]))
+    found = cut(_linked(distinct.select(F.explode(F.array(*keys)).alias("key"), "fp"), LIST_MOST))
+    near = found.where(F.col("fp").isNull()).select("a", "b")
+    long_ = found.where(F.col("fp").isNotNull())
+    if long_.isEmpty():
+        return near.distinct()
+    again = long_.select(F.explode(F.element_at(F.array(*more), (F.shiftrightunsigned("key", 32) + 1).cast("int"))).alias("key"), "fp")
+    return near.unionByName(_linked(again, None).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
