@@ -4,9 +4,17 @@ A document is the set of its terms (words, ASCII lowered), hashed to ``BUCKETS``
 w0 + sum of w_i + sum over pairs of <v_i, v_j>: the pairs let two terms together, such as an insult and
 the mention of a group, weigh more or less than both alone. The machine is fitted on at most
 ``FIT_ROWS`` labelled documents (those of the least hash of their id, so that the choice is the same in
-every run), by mini-batch Adam on the log loss with decay. Only buckets that ``MIN_DOCS`` fitted
-documents have, and of those the ``MAX_TERMS`` whose presence is furthest from independent of the label,
-get weights; all other buckets are zero, so random words add no noise to long documents.
+every run), by mini-batch Adam on the log loss with decay.
+
+Buckets that say nothing keep zero weights, so that random words add no noise to long documents. Of the buckets
+that ``MIN_DOCS`` fitted documents have, two kinds get weights and factors, however many they are:
+
+* those whose presence departs from independence of the label by more than ``ALONE`` standard deviations;
+* those that say something together. After a fit of the first kind, the second-order gradient of the loss in the
+  factors is the matrix of the sums, over the documents that hold two terms, of what the machine still gets
+  wrong. It is formed for the ``PAIR_TERMS`` most frequent terms (rarer ones meet too seldom in the fitted
+  documents to tell); pairs whose sum departs by more than ``TOGETHER`` standard deviations join, whatever
+  their terms say alone, and the matrix's leading directions are their factors' first values.
 
 Defined cases: null and empty texts have no term and score sigmoid(w0); null labels, labels other than 0
 and 1 and labels of a null id are not learned from; an id with several labels counts as 1 if one is;
@@ -29,8 +37,13 @@ from saltmarsh.llm._text import ASCII_LOWER, rows_of, runs, slices, span_hashes
 BUCKET_BITS = 20
 FIT_ROWS = 12_000
 MIN_DOCS = 4
-MAX_TERMS = 4096
+#: Standard deviations from independence that a term shows alone.
+ALONE = 4.0
 FACTORS = 4
+#: Terms that are looked at in pairs, the standard deviations that a pair shows, and its fitted documents at least.
+PAIR_TERMS = 2048
+TOGETHER = 7.0
+PAIR_DOCS = 8
 #: Mini-batches in all, and documents of one.
 STEPS = 2000
 BATCH = 256
@@ -96,21 +109,63 @@ def fit(sets: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n_pos = np.bincount(flat, y[doc], 1 << BUCKET_BITS)
     expected = n_all * share
     z = (n_pos - expected) / np.sqrt(np.maximum(expected * (1 - share) * (1 - n_all / len(y)), 1e-9))
-    z[n_all < MIN_DOCS] = 0
-    chosen = np.flatnonzero(np.abs(z) > 4)
-    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")][:MAX_TERMS]
-    number = none
+    alone = np.flatnonzero((np.abs(z) > ALONE) & (n_all >= MIN_DOCS))
+    machine = _descend(flat, doc, y, w0, alone, np.zeros((len(alone), FACTORS)), seed)
+    p = 1 / (1 + np.exp(-np.clip(machine._sum(machine.number[flat], doc, len(y)), -30, 30)))
+    usable = np.flatnonzero(n_all >= max(MIN_DOCS, PAIR_DOCS))
+    usable = np.sort(usable[np.argsort(-n_all[usable], kind="stable")][:PAIR_TERMS])
+    together, first = _together(flat, doc, y, p, usable)
+    if not len(together):
+        return machine
+    chosen = np.union1d(alone, together)
+    start = np.zeros((len(chosen), FACTORS))
+    start[np.searchsorted(chosen, together)] = first
+    return _descend(flat, doc, y, w0, chosen, start, seed)
+
+
+def _together(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, p: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms among ``usable`` of which pairs tell where the chances ``p`` are off, and first values of their factors."""
+    number = np.full(1 << BUCKET_BITS, -1, np.int32)
+    number[usable] = np.arange(len(usable))
+    term = number[flat]
+    doc, term = doc[term >= 0], term[term >= 0]
+    sums, counts, spread = (np.zeros((len(usable), len(usable)), np.float32) for _ in range(3))
+    for low in range(0, len(y), 1024):
+        s, e = np.searchsorted(doc, [low, low + 1024])
+        held = np.zeros((min(1024, len(y) - low), len(usable)), np.float32)
+        held[doc[s:e] - low, term[s:e]] = 1
+        chance = p[low : low + 1024, None].astype(np.float32)
+        sums += held.T @ (held * (y[low : low + 1024, None].astype(np.float32) - chance))
+        counts += held.T @ held
+        spread += held.T @ (held * chance * (1 - chance))
+    z = np.where(counts >= PAIR_DOCS, sums / np.sqrt(np.maximum(spread, 1.0)), 0)
+    np.fill_diagonal(z, 0)
+    found = np.flatnonzero((np.abs(z) > TOGETHER).any(axis=1))
+    first = np.zeros((len(found), FACTORS))
+    if len(found):
+        kept = z[np.ix_(found, found)].astype(np.float64)
+        values, vectors = np.linalg.eigh(np.where(np.abs(kept) > TOGETHER, kept, 0))
+        lead = [k for k in np.argsort(-values)[:FACTORS] if values[k] > 0]
+        first[:, : len(lead)] = vectors[:, lead]
+    return usable[found], first
+
+
+def _descend(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, w0: float, chosen: np.ndarray, start: np.ndarray, seed: int) -> Machine:
+    """A machine whose terms are the buckets ``chosen``, fitted from the factors ``start``."""
+    number = np.zeros(1 << BUCKET_BITS, np.int32)
     number[chosen] = np.arange(1, len(chosen) + 1)
     rng = np.random.default_rng(seed)
-    theta = {"w": np.zeros(len(chosen) + 1), "v": rng.normal(0, 0.02, (len(chosen) + 1, FACTORS)), "w0": np.array([w0])}
+    factors = rng.normal(0, 0.02, (len(chosen) + 1, FACTORS))
+    factors[1:] += start
+    theta = {"w": np.zeros(len(chosen) + 1), "v": factors, "w0": np.array([w0])}
     first = {k: np.zeros_like(x) for k, x in theta.items()}
     second = {k: np.zeros_like(x) for k, x in theta.items()}
     flat = number[flat]
     doc, flat = doc[flat > 0], flat[flat > 0]
-    bounds = np.searchsorted(doc, np.arange(len(sets) + 1))
+    bounds = np.searchsorted(doc, np.arange(len(y) + 1))
     step = 0
-    while step < STEPS:
-        order = rng.permutation(len(sets))
+    while step < STEPS and len(chosen):
+        order = rng.permutation(len(y))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
             at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in part])
@@ -127,6 +182,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
                 first[name] = 0.9 * first[name] + 0.1 * x
                 second[name] = 0.999 * second[name] + 0.001 * x * x
                 theta[name] = theta[name] - RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+    theta["w"][0], theta["v"][0] = 0, 0
     return Machine(number, float(theta["w0"][0]), theta["w"], theta["v"])
 
 
