@@ -6,7 +6,8 @@ uniform number u ranks by (u / (1 - u)) / (p / (1 - p)), and documents are taken
 words missing are reached (the document that straddles the line is in where at least half of it fits).
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; a source
-without words has target 0; repeated rows are separate documents, ranked in any order among themselves;
+without words has target 0; repeated rows are separate documents, ranked in any order among themselves; rows
+without an id are told apart by their text;
 an empty table gives an empty result. Other columns of the table are not read.
 """
 
@@ -33,9 +34,10 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    digest = F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")).cast("string")).cast("binary"), 256), 1, 12)
+def _uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) that depends on the seed and the id, of rows without an id on their text, alone."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.sha2(text.cast("binary"), 256)), F.lit(""))
+    digest = F.substring(F.sha2(F.concat(F.lit(seed + ":"), name).cast("binary"), 256), 1, 12)
     return (F.conv(digest, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -97,6 +99,7 @@ def pareto_mix(
             F.col(id_col).alias("doc_id"),
             _key(F.col(source_col)).alias("skey"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _uniform(F.col(id_col), text, seed).alias("u"),
             *keep,
         )
     )
@@ -109,7 +112,7 @@ def pareto_mix(
         .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     p = F.least(F.greatest(F.col("missing") * lean / F.col("leaning"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    u = _uniform(F.col("doc_id"), seed)
+    u = F.col("u")
     odds = (u / (1 - u)) * ((1 - p) / p)
     rank = F.when(F.col("leaning") > 0, odds / (1 + odds)).otherwise(F.lit(0.5))
     ranked = base.join(sources, "skey").withColumn("rank", rank)

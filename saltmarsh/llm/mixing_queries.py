@@ -7,7 +7,8 @@ from saltmarsh.llm.mixing import pareto_mix
 OP8_SQL = r"""
 WITH base AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, '~' || sha256(text), '') AS name
   FROM documents),
 leaned AS (SELECT *, floor(10000.0::DOUBLE / sqrt(1.0::DOUBLE + size))::BIGINT AS lean FROM base),
 totals AS (SELECT skey, sum(size)::BIGINT AS source_size, sum(lean * size)::BIGINT AS leaning FROM leaned GROUP BY skey),
@@ -30,7 +31,7 @@ sources AS (
   FROM targets),
 drawn AS (
   SELECT b.*, s.source_size, s.target, s.whole, s.missing, s.leaning,
-         (('0x' || substr(sha256('mix-1:' || coalesce(b.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+         (('0x' || substr(sha256('mix-1:' || b.name), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
          CASE WHEN s.leaning > 0 THEN least(greatest(s.missing * b.lean / s.leaning, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) ELSE 0.5 END AS p
   FROM leaned b JOIN sources s USING (skey)),
 ranked AS (
