@@ -6,28 +6,31 @@ least squares in turn with encoding. Encoding keeps the ``BEAM`` best partial su
 vector's norm is stored, as its ratio to the norm of the sum. A query makes one table of inner products
 with all codewords; a vector's score is the sum of its entries times that ratio.
 
-Every row is indexed. Queries and rows are dealt to blocks by a hash of their id; a query block meets
-each row block once. There the ``RERANK`` rows of the best scores go on to exact inner products in double
-precision, and the best ``top`` of those leave the meeting. The share of a block that is reranked is the same at any number of
-blocks, and so is what a task holds.
-
-Defined cases: null vectors, null ids, vectors that are empty, zero, or hold null or non-finite numbers, and
-vectors of another length than most (of equally common lengths the shorter counts) take no part; rows that
-repeat an id count once, with the least of their vectors; equal scores go to the smaller id; where no
-query or no other row is left the result is empty; other columns are not read.
+Vectors are coded as directions, and their lengths are kept in double precision, so numbers beyond single
+precision are ranked as any other. Every row is indexed. Queries and rows are dealt to blocks by a hash of their
+row number; a query block meets each row block once. There the ``RERANK`` rows of the best scores go on to exact
+inner products in double precision, and the best ``top`` of those leave the meeting. The share of a block that is
+reranked is the same at any number of blocks, and so is what a task holds.
+
+Defined cases: null vectors, null ids, vectors that are empty, zero, or hold null or non-finite numbers take no
+part; vectors of different lengths have no inner product, so each length is searched on its own (one job for
+each); rows that repeat an id are queries and candidates of their own, and only the query's own row is none of its
+candidates; equal scores go to the smaller id; an inner product that is no number, as of infinite parts, is the
+least; where no query or no other row is left the result is empty; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saltmarsh.session import cut
+from saltmarsh.session import numbered
 
 BOOKS, WORDS, BEAM = 24, 64, 4
 FIT_ROWS = 8192
@@ -121,15 +124,22 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part, v as an array of doubles, or of floats if given as such."""
+    """(row, vec_id, v) of the rows that take part, v as an array of doubles, or of floats if given as such."""
     v = F.col("v")
     kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    rows = rows.where(F.size("v") == (common[0]["d"] if common else 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return numbered(rows, "row").select("row", "vec_id", "v")
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, in single precision, and the lengths in double precision."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    scaled = x / most
+    length = np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return (scaled / length).astype(np.float32), np.minimum(most * length, np.finfo(np.float64).max)[:, 0]
 
 
 def _matrix(column) -> np.ndarray:
@@ -149,55 +159,70 @@ def best_of(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_step: int = QUERY_STEP, top: int = TOP, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest of every row whose id ``query_step`` divides."""
-    rows = cut(usable(vectors, id_col, vec_col))
-    sample = np.unique(_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow().column(0)), axis=0)
+    rows = usable(vectors, id_col, vec_col)
+    found = [_search(rows.where(F.size("v") == r["d"]), query_step, top, rerank) for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(rows: DataFrame, query_step: int, top: int, rerank: int) -> DataFrame:
+    """``search`` among rows of one length."""
     is_query = F.col("vec_id") % query_step == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    if not n or not n_queries:
+    if not n_queries:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    quantiser = Quantiser.fit(sample)
+    sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(FIT_ROWS).select("v").toArrow().column(0))
+    quantiser = Quantiser.fit(np.unique(directions(sample)[0], axis=0))
     row_blocks, query_blocks = -(-n // ROW_BLOCK), -(-n_queries // QUERY_BLOCK)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(2))
             if not len(x):
                 continue
+            x, lengths = directions(x)
             codes = quantiser.encode(x)
-            ratios = quantiser.ratios(x.astype(np.float32), codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratios, pa.float32())], ["vec_id", "v", "codes", "ratio"])
+            norms = lengths * quantiser.ratios(x, codes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float64())], ["row", "vec_id", "v", "codes", "norm"])
 
     def dealt(blocks: int, salt: int):
-        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks)).cast("int")
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(blocks)).cast("int")
 
-    index = rows.mapInArrow(encode, f"vec_id long, v {dict(rows.dtypes)['v']}, codes binary, ratio float")
+    index = rows.mapInArrow(encode, f"row long, vec_id long, v {dict(rows.dtypes)['v']}, codes binary, norm double")
     index = index.select("*", dealt(row_blocks, 1).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    queries = rows.where(is_query).select("vec_id", "v", dealt(query_blocks, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+    queries = rows.where(is_query).select("row", "vec_id", "v", dealt(query_blocks, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
 
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-        found_ids, lists = [], []
+        found_rows, found_ids, lists = [], [], []
         if q.num_rows and r.num_rows:
-            ids = r.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], _matrix(r.column("v"))[order]
+            ids, number = r.column("vec_id").to_numpy(), r.column("row").to_numpy()
+            order = np.lexsort((number, ids))
+            ids, number, vectors = ids[order], number[order], _matrix(r.column("v"))[order]
             codes = np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            ratios = r.column("ratio").to_numpy()[order]
-            query_ids, x = q.column("vec_id").to_numpy(), _matrix(q.column("v"))
-            for k in range(0, len(query_ids), 128):
-                scores = quantiser.scores(x[k : k + 128], codes, ratios)
-                for i, query in enumerate(query_ids[k : k + 128].tolist()):
-                    own = np.searchsorted(ids, query)
-                    if own < len(ids) and ids[own] == query:
-                        scores[i, own] = -np.inf
+            norms = r.column("norm").to_numpy()[order]
+            norms = (norms / norms.max()).astype(np.float32)  # scores are compared within the block
+            place = dict(zip(number.tolist(), range(len(number))))
+            x = _matrix(q.column("v"))
+            turned = directions(x)[0]
+            of = list(zip(q.column("row").to_pylist(), q.column("vec_id").to_pylist()))
+            for k in range(0, len(of), 128):
+                scores = quantiser.scores(turned[k : k + 128], codes, norms)
+                for i, (row, query) in enumerate(of[k : k + 128]):
+                    if row in place:
+                        scores[i, place[row]] = -np.inf
                     at = np.sort(best_of(scores[i], ids, rerank))
                     at = at[scores[i, at] > -np.inf]
-                    exact = (vectors[at] * x[k + i]).sum(axis=1)  # the same for equal vectors wherever they stand
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = (vectors[at] * x[k + i]).sum(axis=1)  # the same for equal vectors wherever they stand
+                    exact[np.isnan(exact)] = -np.inf
                     best = best_of(exact, ids[at], top)
+                    found_rows.append(row)
                     found_ids.append(query)
                     lists.append(ids[at[best]].tobytes() + exact[best].tobytes())
-        return pa.table([pa.array(found_ids, pa.int64()), pa.array(lists, pa.binary())], names=["query_id", "found"])
+        return pa.table([pa.array(found_rows, pa.int64()), pa.array(found_ids, pa.int64()), pa.array(lists, pa.binary())], names=["row", "query_id", "found"])
 
-    met = queries.groupBy("qb", "rb").cogroup(index.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, found binary")
+    met = queries.groupBy("qb", "rb").cogroup(index.groupBy("qb", "rb")).applyInArrow(meet, "row long, query_id long, found binary")
 
     def merge(table: pa.Table) -> pa.Table:
         ids, scores = [], []
@@ -210,4 +235,4 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         query = np.full(len(order), table.column("query_id")[0].as_py(), np.int64)
         return pa.table([pa.array(query), pa.array(np.arange(1, len(order) + 1, dtype=np.int32)), pa.array(ids[order]), pa.array(scores[order])], names=["query_id", "rank", "vec_id", "score"])
 
-    return met.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    return met.groupBy("row").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
