@@ -56,6 +56,17 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches of the session hold ``most`` bytes, unless the session has a lower limit.
+
+    Spark's own limit of 64 MB is for one buffer; a batch stands in several at once, in the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "67108864b").lower().removesuffix("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > most:
+        spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, so that later plans start from files.
 
