@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from saltmarsh.llm.token_output import manifest, training_order, write_shards
+from saltmarsh.llm.token_output import VOCABULARY, id_width, manifest, training_order, write_shards
 from saltmarsh.session import scratch_dir
 
 
-def write_and_list(docs):
+def write_and_list(docs, vocabulary=VOCABULARY):
     """Write the shards of ``docs`` to the shared folder and list every sequence in them."""
-    ordered, _ = training_order(docs)
-    return manifest(write_shards(ordered, scratch_dir(docs.sparkSession)))
+    ordered, _ = training_order(docs, vocabulary=vocabulary)
+    with open(vocabulary, "rb") as file:
+        width = id_width(file.read())
+    return manifest(write_shards(ordered, scratch_dir(docs.sparkSession)), width=width)
 
 
 def op4_token_output(spark, sf_dir):
