@@ -4,9 +4,9 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier (in a sm
 the same document) goes; strings are judged on the input and never cross documents.
 
 1. *Routing.* Each string of ``LENGTH`` bytes (a window) is assigned the ``GRAM``-byte gram inside it with
-   the least hash, the leftmost of equals: its anchor. Equal windows have equal anchors at equal places,
-   so windows meet by their anchors' hashes and a run of windows with one anchor travels as one stretch of
-   text. Grams that are frequent in the whole corpus are chosen only by windows that have no other, so a
+   the least hash, its anchor. Equal windows have equal anchors, so windows meet by their anchors' hashes, and a
+   run of windows with one anchor travels as one stretch of text, also where the anchor occurs in it again
+   and again, as in periodic text. Grams that are frequent in the whole corpus are chosen only by windows that have no other, so a
    common line does not draw the unique text around it.
 2. *Sharing.* Anchors are counted; only those that occur twice go on. A document's stretches around them
    are cut out.
@@ -16,7 +16,8 @@ the same document) goes; strings are judged on the input and never cross documen
    larger than its successor goes to the front of its own bucket when the scan passes the successor. Common
    prefixes of neighbours then tell the classes of equal windows; all but the earliest of a class repeat.
 4. Anchors of frequent grams are dealt to as many buckets as their number needs. Windows that are the
-   earliest of their class there meet again, once per anchor, in a second round of suffix arrays.
+   earliest of their class there meet again in a second round of suffix arrays, once per longer gram around
+   the anchor, chosen as the anchors were.
 5. Repeated windows are joined to their documents, whose covered bytes go.
 
 Defined cases: a null text is empty and has nothing to remove; texts shorter than ``LENGTH`` bytes stay;
@@ -41,14 +42,22 @@ from saltmarsh.llm._text import SLICE_BYTES, mix, slices
 LENGTH = 100
 GRAM = 20
 #: Anchors of one counting bucket, and of one suffix array if all of them were shared.
-COUNT_BUCKET = 1 << 17
+COUNT_BUCKET = 1 << 16
 SORT_BUCKET = 1 << 13
 #: Anchors of one task's buckets, if all of them were shared.
-ROUTE = 1 << 18
+ROUTE = 1 << 16
 #: A gram is frequent if it is one in this many of all grams or more: there are at most as many such grams.
 FREQUENT = 1 << 15
-#: Occurrences of one anchor that meet in one bucket of the first round.
-SALTED = 512
+#: Bytes of text whose grams a task counts at once.
+COUNTED_BYTES = 2 << 20
+#: Bytes of the gram by which what a frequent anchor leaves over meets.
+LONG_GRAM = 64
+#: Bytes of stretches that the second round sorts at once; one key's are never parted.
+SECOND_BYTES = 1 << 20
+#: Windows of one stretch: longer runs are cut.
+MOST_WINDOWS = 1024
+#: Windows of one anchor that meet in one bucket of the first round.
+SALTED = 1 << 15
 _TOP = np.uint64(1 << 63)
 
 
@@ -77,67 +86,58 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return mix(out[: len(data) - gram + 1]) >> np.uint64(1)
 
 
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of ``width`` values from each place on."""
+def _sliding(extreme: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least or greatest of ``width`` values from each place on."""
     have = 1
     while have < width:
         step = min(have, width - have)
-        x = np.minimum(x[:-step], x[step:])
+        x = extreme(x[:-step], x[step:])
         have += step
     return x
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, hash, first window, end window) of every anchor; windows as offsets in ``data``.
+    """(row, hash, first window, end window, whether its gram occurs there twice) of every anchor; windows as offsets in ``data``.
 
     ``frequent`` are sorted hashes of grams that a window takes only if it has no other.
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
     h = gram_hashes(data, gram)
     if len(frequent):
         h = np.where(_isin(h, frequent), h | _TOP, h)
-    least = _sliding_min(h, length - gram + 1)
+    least = _sliding(np.minimum, h, length - gram + 1)
     n = len(least)
     inside = np.ones(n, bool)  # windows that stay in one row
     for k in offsets[1:-1].tolist():
         inside[max(0, k - length + 1) : min(k, n)] = False
-    # The anchor of window w is the leftmost place p in [w, w + length - gram] with h[p] == least[w].
-    # Equal minima of neighbours have the same place unless that place lies before the next window.
+    # Neighbours with equal minima have one anchor, whatever place in them it has.
     change = np.ones(n, bool)
     change[1:] = (least[1:] != least[:-1]) | ~inside[:-1] | ~inside[1:]
     starts = np.flatnonzero(change & inside)
     if not len(starts):
-        return none, np.zeros(0, np.uint64), none, none
+        return none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
     ends = np.append(np.flatnonzero(change), n)
     ends = ends[np.searchsorted(ends, starts, side="right")]
-    # A run of equal minima longer than the reach of one place holds several occurrences of the gram.
+    value = least[starts]
+    # Places whose gram is the least of a window: those that are as great as the greatest of their windows' minima.
     reach = length - gram + 1
-    far = np.flatnonzero(ends - starts > reach)
-    span = [(starts[k], ends[k]) for k in far.tolist()]
-    keep = np.ones(len(starts), bool)
-    keep[far] = False
-    place = _first_place(h, least, starts[keep], reach)
-    over = ends[keep] > place + 1
-    a, b, s = list(), list(), list()
-    # Windows past the place take its next occurrence: split those runs one by one too.
-    good = np.flatnonzero(keep)[~over]
-    for lo, hi in span + [(starts[k], ends[k]) for k in np.flatnonzero(keep)[over].tolist()]:
-        value = least[lo]
-        spots = np.flatnonzero(h[lo : hi + reach - 1] == value) + lo
-        w = int(lo)
-        while w < hi:
-            p = int(spots[np.searchsorted(spots, w)])
-            stop = min(int(hi), p + 1)
-            a.append(w), b.append(stop), s.append(value)
-            w = stop
-    first = np.concatenate([starts[good], np.array(a, np.int64)]).astype(np.int64)
-    end = np.concatenate([ends[good], np.array(b, np.int64)]).astype(np.int64)
-    value = np.concatenate([least[starts[good]], np.array(s, np.uint64)])
-    order = np.argsort(first, kind="stable")
-    first, end, value = first[order], end[order], value[order]
-    return np.searchsorted(offsets, first, side="right") - 1, value & ~_TOP, first, end
+    low = np.where(inside, least, 0)
+    low = np.concatenate([np.zeros(reach - 1, np.uint64), low, np.zeros(reach - 1, np.uint64)])
+    places = np.flatnonzero(_sliding(np.maximum, low, reach) == h)
+    a, b = np.searchsorted(places, starts), np.searchsorted(places, ends + reach - 1)
+    own, k, open_ = np.zeros(len(starts), np.int64), a.copy(), np.arange(len(starts))
+    while len(open_):
+        own[open_] += h[places[k[open_]]] == value[open_]
+        k[open_] += 1
+        open_ = open_[(k[open_] < b[open_]) & (own[open_] < 2)]
+    # A run of equal minima, however many places of its gram it spans, is one stretch; long ones are cut.
+    parts = -(-(ends - starts) // MOST_WINDOWS)
+    of = np.repeat(np.arange(len(starts)), parts)
+    first = starts[of] + MOST_WINDOWS * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    end = np.minimum(first + MOST_WINDOWS, ends[of])
+    return np.searchsorted(offsets, first, side="right") - 1, value[of] & ~_TOP, first, end, own[of] > 1
 
 
 def _isin(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -151,20 +151,6 @@ def _isin(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_place(h: np.ndarray, least: np.ndarray, starts: np.ndarray, reach: int) -> np.ndarray:
-    """The leftmost place in each window that has the window's least hash."""
-    place = np.full(len(starts), -1, np.int64)
-    open_ = np.arange(len(starts))
-    for k in range(reach):
-        if not len(open_):
-            break
-        at = starts[open_] + k
-        found = h[at] == least[starts[open_]]
-        place[open_[found]] = at[found]
-        open_ = open_[~found]
-    return place
-
-
 def suffix_order(text: np.ndarray, seven: np.ndarray, wanted: np.ndarray, words: int) -> np.ndarray:
     """The positions with ``wanted`` set, ordered by the suffixes of ``text`` that start there.
 
@@ -191,9 +177,7 @@ def suffix_order(text: np.ndarray, seven: np.ndarray, wanted: np.ndarray, words:
         large_at = large_at[~need[large_at]]
         need[large_at] = True
         large_at = large_at[~small[large_at]]
-    direct = np.flatnonzero(need & small)
-    order = np.lexsort([seven[direct + 7 * w] for w in range(words - 1, -1, -1)])
-    direct = direct[order]
+    direct = sorted_directly(seven, np.flatnonzero(need & small), words)
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(258))
     induced: dict[int, list[np.ndarray]] = {}
@@ -225,6 +209,53 @@ def suffix_order(text: np.ndarray, seven: np.ndarray, wanted: np.ndarray, words:
     return found[wanted[found]]
 
 
+def sorted_directly(seven: np.ndarray, places: np.ndarray, words: int) -> np.ndarray:
+    """``places`` by the suffixes there, told apart by ``words`` words of ``seven``; equal ones in any order.
+
+    Each round sorts the groups that are still tied by the first word in which their members differ; a group
+    whose members agree in all words is done.
+    """
+    key = seven[places]
+    order = np.argsort(key)
+    places, key = places[order], key[order]
+    number = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
+    at = np.flatnonzero(np.bincount(number)[number] > 1) if len(key) else number
+    group, done = number[at], 1
+    while len(at):
+        here = places[at]
+        pair = np.flatnonzero(group[1:] == group[:-1])
+        same = np.full(len(at), words)
+        same[pair] = common_words(seven, here[pair], here[pair + 1], done, words)
+        lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        shared = np.repeat(np.minimum.reduceat(same, lead), np.diff(np.append(lead, len(at))))
+        open_ = shared < words
+        at, group, here, shared = at[open_], group[open_], here[open_], shared[open_]
+        if not len(at):
+            break
+        word = seven[here + 7 * shared]
+        order = np.lexsort((word, group))
+        word = word[order]
+        places[at] = here[order]
+        number = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1]))) - 1
+        keep = np.bincount(number)[number] > 1
+        at, group, done = at[keep], number[keep], int(shared.min()) + 1
+    return places
+
+
+def common_words(seven: np.ndarray, a: np.ndarray, b: np.ndarray, done: int, words: int) -> np.ndarray:
+    """How many of ``words`` words the suffixes a[k] and b[k] share from the start; the first ``done`` are known to."""
+    out = np.full(len(a), words, np.int64)
+    live = np.arange(len(a))
+    a, b = a + 7 * done, b + 7 * done
+    for w in range(done, words):
+        same = seven[a] == seven[b]
+        if not same.all():
+            out[live[~same]] = w
+            live, a, b = live[same], a[same], b[same]
+        a, b = a + 7, b + 7
+    return out
+
+
 def packed(text: np.ndarray) -> np.ndarray:
     """The seven characters from each position on as one number, nine bits each, that orders as they do."""
     wide = np.zeros(len(text) + 8, np.uint64)
@@ -306,10 +337,24 @@ def _unpack(body: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: What is kept of an anchor: hash, document, checksum, first window, windows.
-_ANCHOR = [np.uint64, np.int64, np.uint32, np.uint32, np.uint8]
+#: What is kept of an anchor: hash, document, checksum, first window, windows (and TWICE, if its gram occurs twice).
+TWICE = 1 << 15
+_ANCHOR = [np.uint64, np.int64, np.uint64, np.uint32, np.uint16]
 #: What is kept of a shared one: bucket, hash, first window, windows, dealt to several buckets.
-_SHARED = [np.uint32, np.uint64, np.uint32, np.uint8, np.uint8]
+_SHARED = [np.uint32, np.uint64, np.uint32, np.uint16, np.uint8]
+
+
+def _counted_together(column, length: int, gram: int) -> Iterator[np.ndarray]:
+    """The sorted hashes of the grams of about ``COUNTED_BYTES`` bytes of text at a time."""
+    held, size = [], 0
+    for _, data, _, _ in _pieces(column, length):
+        held.append(gram_hashes(data, gram))
+        size += len(held[-1])
+        if size >= COUNTED_BYTES:
+            yield np.sort(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield np.sort(np.concatenate(held))
 
 
 def _frequent_grams(slim: DataFrame, length: int, gram: int) -> tuple[np.ndarray, int]:
@@ -318,10 +363,7 @@ def _frequent_grams(slim: DataFrame, length: int, gram: int) -> tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, found, many = 0, [], []
-            for _, data, _, _ in _pieces(batch.column(2), length):
-                h = np.sort(gram_hashes(data, gram))
-                if not len(h):
-                    continue
+            for h in _counted_together(batch.column(2), length, gram):
                 n += len(h)
                 cuts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 counts = np.diff(np.append(cuts, len(h)))
@@ -345,13 +387,13 @@ def _anchor_rows(slim: DataFrame, frequent: np.ndarray, routes: int, length: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            sums = batch.column(1).to_numpy().astype(np.uint32)
+            sums = batch.column(1).to_numpy().view(np.uint64)
             held: list[list[np.ndarray]] = []
             for first_row, data, offsets, shift in _pieces(batch.column(2), length):
-                row, h, first, end = anchors(data, offsets, frequent, length, gram)
+                row, h, first, end, twice = anchors(data, offsets, frequent, length, gram)
                 if len(row):
                     within = first - offsets[row] + shift
-                    held.append([h, ids[first_row + row], sums[first_row + row], within.astype(np.uint32), (end - first).astype(np.uint8)])
+                    held.append([h, ids[first_row + row], sums[first_row + row], within.astype(np.uint32), (end - first + TWICE * twice).astype(np.uint16)])
             if not held:
                 continue
             columns = [np.concatenate(x) for x in zip(*held)]
@@ -374,30 +416,35 @@ def _shared_rows(routed: DataFrame, frequent: np.ndarray, buckets: int) -> DataF
     def run(table: pa.Table) -> pa.Table:
         held = [_unpack(x, _ANCHOR) for x in table.column("anchors").to_pylist()]
         h, ids, sums, first, n = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort([first, sums, ids, h])
+        order = np.argsort(h)
         h, ids, sums, first, n = (x[order] for x in (h, ids, sums, first, n))
+        twice = n >= TWICE
+        n = n % np.uint16(TWICE)
         lead = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         counts = np.diff(np.append(lead, len(h)))
-        nth = np.arange(len(h)) - np.repeat(lead, counts)
-        counts = np.repeat(counts, counts)
+        upto = np.cumsum(n, dtype=np.int64)
+        before = upto - n
+        windows = np.add.reduceat(n, lead, dtype=np.int64)
+        nth = before - np.repeat(before[lead], counts)
+        counts, windows = np.repeat(counts, counts), np.repeat(windows, counts)
         often = _isin(h, frequent) if len(frequent) else np.zeros(len(h), bool)
-        dealt = often | (counts > SALTED)
+        dealt = often | (windows > SALTED)
         route = np.uint64(table.column("route")[0].as_py())
         salt = np.where(dealt, (nth // SALTED + 1).astype(np.uint64) * np.uint64(0x9E3779B1) + np.where(often, route + np.uint64(1), 0).astype(np.uint64), 0)
         bucket = (mix(h + mix(salt.astype(np.uint64))) % np.uint64(buckets)).astype(np.uint32)
-        keep = np.flatnonzero(often | (counts > 1))
+        keep = np.flatnonzero(often | (counts > 1) | twice)
         keep = keep[np.lexsort([sums[keep], ids[keep]])]
         ids, sums = ids[keep], sums[keep]
         columns = [bucket[keep], h[keep], first[keep], n[keep], dealt[keep].astype(np.uint8)]
         cuts = np.append(np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1]))), len(ids)) if len(ids) else np.zeros(1, np.int64)
         bodies = [b"".join([int(e - s).to_bytes(8, "little"), *(x[s:e].tobytes() for x in columns)]) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return pa.table([pa.array(ids[cuts[:-1]]) if len(ids) else pa.array([], pa.int64()), pa.array(sums[cuts[:-1]].astype(np.int64)) if len(ids) else pa.array([], pa.int64()), pa.array(bodies, pa.binary())], names=["did", "sum", "shared"])
+        return pa.table([pa.array(ids[cuts[:-1]]) if len(ids) else pa.array([], pa.int64()), pa.array(sums[cuts[:-1]].view(np.int64)) if len(ids) else pa.array([], pa.int64()), pa.array(bodies, pa.binary())], names=["did", "sum", "shared"])
 
     return routed.groupBy("route").applyInArrow(run, "did long, sum long, shared binary")
 
 
 #: What is kept of a stretch: bucket, hash, dealt to several buckets, document, checksum, first window, windows.
-_STRETCH = [np.uint32, np.uint64, np.uint8, np.int64, np.uint32, np.uint32, np.uint8]
+_STRETCH = [np.uint32, np.uint64, np.uint8, np.int64, np.uint64, np.uint32, np.uint16]
 
 
 def _stretches(joined: DataFrame, routes: int, length: int) -> DataFrame:
@@ -440,7 +487,7 @@ def _stretches(joined: DataFrame, routes: int, length: int) -> DataFrame:
                         columns.append(np.frombuffer(part, kind, n, at))
                         at += n * np.dtype(kind).itemsize
                     bucket, h, first, count, dealt = columns
-                    held.append([bucket, h, dealt, np.full(n, did.as_py(), np.int64), np.full(n, check.as_py(), np.uint32), first, count])
+                    held.append([bucket, h, dealt, np.full(n, did.as_py(), np.int64), np.full(n, check.as_py(), np.int64).view(np.uint64), first, count])
                     begins.append(first.astype(np.int64) + size)
                     rows += n
                 texts.append(text)
@@ -467,7 +514,8 @@ def _bucket(columns: list[np.ndarray], data: np.ndarray, begins: np.ndarray, las
     _, h, dealt, ids, sums, first, windows = columns
     first, n_windows = first.astype(np.int64), windows.astype(np.int64)
     _, document = np.unique(ids, return_inverse=True)
-    again = repeated(data, begins, n_windows, (document.astype(np.int64) << 40) + first, length)
+    named = (sums & np.uint64(1)).astype(np.int64)  # a null id is before the least id
+    again = repeated(data, begins, n_windows, (2 * document.astype(np.int64) + named << 40) + first, length)
     opens = np.cumsum(n_windows) - n_windows
     of = np.repeat(np.arange(len(ids)), n_windows)
     # Ranges of windows that repeat, stretch by stretch.
@@ -475,15 +523,21 @@ def _bucket(columns: list[np.ndarray], data: np.ndarray, begins: np.ndarray, las
     start = np.flatnonzero(again & (edge | ~np.append(False, again[:-1])))
     stop = np.flatnonzero(again & (np.append(edge[1:], True) | ~np.append(again[1:], False)))
     row = of[start]
-    out = [ids[row], sums[row].astype(np.int64), first[row] + start - opens[row], first[row] + stop - opens[row] + length]
+    out = [ids[row], sums[row].view(np.int64), first[row] + start - opens[row], first[row] + stop - opens[row] + length]
     none = pa.nulls(len(row), pa.int64())
     found = pa.table([*(pa.array(x) for x in out), none, none, pa.nulls(len(row), pa.binary())], names=["did", "sum", "start", "end", "h", "first", "body"])
     if last:
         return found
     on = np.flatnonzero((np.add.reduceat(~again, opens) > 0) & (dealt > 0))
-    bodies = [data[begins[k] : begins[k] + n_windows[k] + length - 1].tobytes() for k in on.tolist()]
+    # They meet by a longer gram, so that the contexts of one frequent anchor part ways.
+    sizes = n_windows[on] + length - 1
+    text = data[_spread(begins[on], sizes)]
+    row, longer, begin, end, _ = anchors(text, np.append(0, np.cumsum(sizes)), np.zeros(0, np.uint64), length, LONG_GRAM * length // LENGTH)
+    bodies = [text[s : e + length - 1].tobytes() for s, e in zip(begin.tolist(), end.tolist())]
+    first = first[on[row]] + begin - (np.cumsum(sizes) - sizes)[row]
+    h, on = mix(h[on[row]] + mix(longer)), on[row]
     none = pa.nulls(len(on), pa.int64())
-    rest = pa.table([pa.array(ids[on]), pa.array(sums[on].astype(np.int64)), none, none, pa.array(h[on].view(np.int64)), pa.array(first[on]), pa.array(bodies, pa.binary())], names=found.column_names)
+    rest = pa.table([pa.array(ids[on]), pa.array(sums[on].view(np.int64)), none, none, pa.array(h.view(np.int64)), pa.array(first), pa.array(bodies, pa.binary())], names=found.column_names)
     return pa.concat_tables([found, rest])
 
 
@@ -521,32 +575,31 @@ def _second_round(length: int):
         bodies = table.column("body").to_pylist()
         sizes = np.array([len(x) for x in bodies], np.int64)
         none = np.zeros(len(bodies), np.uint64)
-        columns = [none, none, none, table.column("did").to_numpy(), table.column("sum").to_numpy(), table.column("first").to_numpy(), sizes - length + 1]
+        columns = [none, none, none, table.column("did").to_numpy(), table.column("sum").to_numpy().view(np.uint64), table.column("first").to_numpy(), sizes - length + 1]
         return _bucket(columns, np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, True, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        of = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield from work(pa.concat_tables(held)).select(names).to_batches()
-            held.clear()
-
+        size = 0
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            on = table.column("body").is_valid().to_numpy()
-            last = int(on.sum())  # these come first
-            key = table.column("k").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:last] != key[: last - 1]) + 1).tolist(), last] if last else [0]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if of is not None and key[s] != of:
-                    yield from done()
-                of = key[s]
-                held.append(table.slice(s, e - s))
+            body = table.column("body")
+            last = len(table) - body.null_count  # these come first
+            if last:
+                held.append(table.slice(0, last))
+                size += body.nbytes
+            if size > SECOND_BYTES:  # whole keys of them at once
+                whole = pa.concat_tables(held)
+                key = whole.column("k").to_numpy()
+                ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+                if len(ends):
+                    yield from work(whole.slice(0, int(ends[-1]))).select(names).to_batches()
+                    whole = whole.slice(int(ends[-1]))
+                held, size = [whole], 0 if len(ends) else size
             if last < len(table):
                 yield from table.slice(last).select(names).to_batches()
-        yield from done()
+        if held and len(whole := pa.concat_tables(held)):
+            yield from work(whole).select(names).to_batches()
 
     return run
 
@@ -554,11 +607,13 @@ def _second_round(length: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs``; ``kept`` are the bytes that stay."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    smallest = -(1 << 63)
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("did"), F.crc32(body).alias("sum"), body.alias("text"))
+    key = F.col(id_col).cast("long")
+    # The sum tells rows of one id apart; its last bit whether there is an id.
+    sum_ = F.xxhash64(body).bitwiseAND(F.lit(-2)).bitwiseOR(key.isNotNull().cast("long"))
+    slim = docs.select(F.coalesce(key, F.lit(-(1 << 63))).alias("did"), sum_.alias("sum"), body.alias("text"))
     frequent, n_grams = _frequent_grams(slim, length, gram)
     n_anchors = 2 * n_grams // (length - gram + 2)
-    routed = _anchor_rows(slim, frequent, max(64, n_anchors // COUNT_BUCKET), length, gram)
+    routed = _anchor_rows(slim, frequent, max(256, n_anchors // COUNT_BUCKET), length, gram)
     shared = _shared_rows(routed, frequent, max(256, n_anchors // SORT_BUCKET))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,7 +625,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = slim.mapInArrow(squeeze, "did long, sum long, text binary")
     by_row = shared.groupBy("did", "sum").agg(F.collect_list("shared").alias("shared"))
     # Both joins have the texts on their left and nothing between, so that the plan shuffles them once.
-    routes = max(64, n_anchors // ROUTE)
+    routes = max(256, n_anchors // ROUTE)
     around = _stretches(texts.join(by_row.hint("merge"), ["did", "sum"], "left"), routes, length)
     once = around.groupBy("route").applyInArrow(_first_round(length), _FOUND)
     # What goes on to the second round meets by its anchor; ranges ride along on their document.
@@ -582,7 +637,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for did, small, found in zip(batch.column("did").to_pylist(), batch.column("text"), batch.column("ranges")):
+            for did, check, small, found in zip(batch.column("did").to_pylist(), batch.column("sum").to_pylist(), batch.column("text"), batch.column("ranges")):
                 text = unpacker.decompress(small.as_buffer().to_pybytes())
                 spans: list[list[int]] = []
                 if found.is_valid and len(found):
@@ -598,12 +653,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     at = e
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                for values, x in zip(out, (None if did == smallest else did, len(text), len(text) - len(rest), len(spans), rest)):
+                for values, x in zip(out, (did if check & 1 else None, len(text), len(text) - len(rest), len(spans), rest)):
                     values.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(ranges.hint("merge"), ["did", "sum"], "left").select("did", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(ranges.hint("merge"), ["did", "sum"], "left").select("did", "sum", "text", "ranges").mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removed_sha256(kept: bytes) -> str:
