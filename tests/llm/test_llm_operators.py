@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -59,7 +60,7 @@ def brute_repeats(rows, length=100):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("salted", [512, 3])
+@pytest.mark.parametrize("salted", [1 << 15, 200])
 def test_suffix_dedup(spark, odd_rows, salted, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SALTED", salted)
     rng = random.Random(5)
@@ -88,7 +89,9 @@ def test_anchor_windows_cover_each_window_once():
         offsets = np.array([0, 50, 149, 149, 900, 3700])
         if frequent is None:
             frequent = np.unique(suffix_dedup.gram_hashes(data)[::7])
-        row, h, first, end = suffix_dedup.anchors(data, offsets, frequent)
+        row, h, first, end, twice = suffix_dedup.anchors(data, offsets, frequent)
+        grams = suffix_dedup.gram_hashes(data)
+        assert [(grams[s : e + 80] == v).sum() > 1 for s, e, v in zip(first, end, h)] == twice.tolist()
         got = sorted((r, k) for r, s, e in zip(row, first, end) for k in range(s, e))
         assert got == [(r, k) for r in range(5) for k in range(offsets[r], offsets[r + 1] - 99)]
 
@@ -121,7 +124,7 @@ def test_secrets(spark, odd_rows):
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
     kinds = {i: [x.kind for x in got[i].found] for i in texts}
-    assert kinds[300] == ["assign"] and kinds[302] == ["jwt"] and kinds[303] == ["der", "ssh"] and "der" in kinds[304] and kinds[305] == []
+    assert kinds[300] == ["assign"] and kinds[302] == ["jwt"] and kinds[303] == ["der", "public"] and "der" in kinds[304] and kinds[305] == []
 
 
 def test_secrets_reach_real_key_files():
@@ -138,7 +141,7 @@ def test_secrets_reach_real_key_files():
     legacy = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{cipher}\n-----END RSA PRIVATE KEY-----"
     cases = [
         ("ssl_key=", std, " end", "der"),
-        ("key=", wire, "\n", "ssh"),
+        ("key=", wire, "\n", "public"),
         ("x=", url, "&y", "der"),
         ('{"private_key": "', escaped, '\\n"}', "der"),
         ("", legacy, "", "der"),
@@ -147,7 +150,7 @@ def test_secrets_reach_real_key_files():
         ('"-----BEGIN PUBLIC KEY-----\\n', "\\n".join(lines), '\\n-----END PUBLIC KEY-----"', "der"),
         ('{"k":"', std.replace("/", "\\/"), '"}', "der"),
         ("k=", base64.b64encode(locked).decode(), "", "der"),
-        ("ssh-rsa ", "\n".join(wire[k : k + 70] for k in range(0, len(wire), 70)), " me@host", "ssh"),
+        ("ssh-rsa ", "\n".join(wire[k : k + 70] for k in range(0, len(wire), 70)), " me@host", "public"),
     ]
     for before, key, after, kind in cases:
         assert (secrets.KINDS.index(kind), len(before), len(before + key)) in [(k, s, e) for s, k, e in secrets.confirmed_spans(before + key + after)], before
@@ -155,6 +158,43 @@ def test_secrets_reach_real_key_files():
         assert secrets.confirmed_spans(text) == []
 
 
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_only_private_keys_are_secrets():
+    number = lambda n: tlv(2, b"\x01" + b"n" * n)
+    zero, oid = tlv(2, b"\0"), tlv(6, b"\x2a\x03\x04")
+    rsa = tlv(0x30, zero, *(number(40) for _ in range(8)))
+    pkcs8 = tlv(0x30, zero, tlv(0x30, oid, tlv(5)), tlv(4, rsa))
+    locked = tlv(0x30, tlv(0x30, oid, tlv(0x30, tlv(4, b"saltsalt"))), tlv(4, b"c" * 64))
+    curve = tlv(0x30, tlv(2, b"\1"), tlv(4, b"k" * 32), tlv(0xA0, oid))
+    public = tlv(0x30, tlv(0x30, oid, tlv(5)), tlv(3, b"\0" + b"p" * 64))
+    signature = tlv(0x30, number(32), number(32))
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    wire = string(b"ssh-ed25519") + string(b"p" * 32)
+    inner = b"abcdabcd" + string(b"ssh-ed25519") + string(b"p" * 32) + string(b"s" * 64) + string(b"me")
+    inner += bytes(range(1, 1 + -len(inner) % 8))
+    openssh = secrets.MAGIC + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(wire) + string(inner)
+    coded = lambda x: base64.b64encode(x).decode()
+    for body, kind in [(rsa, "der"), (pkcs8, "der"), (locked, "der"), (curve, "der"), (public, "public"), (signature, None), (wire, "public"), (openssh, "ssh")]:
+        found = [(secrets.KINDS[k], s, e) for s, k, e in secrets.confirmed_spans(f"k={coded(body)} x")]
+        assert found == ([(kind, 2, 2 + len(coded(body)))] if kind else []), kind
+    for broken in (openssh[:-8], openssh.replace(b"abcdabcd", b"abcdabce"), openssh.replace(string(wire), string(b"x" * len(wire)))):
+        assert not [x for x in secrets.confirmed_spans(f"k={coded(broken)} x") if secrets.KINDS[x[1]] == "ssh"]
+    lines = "\n".join(coded(openssh)[k : k + 70] for k in range(0, len(coded(openssh)), 70))
+    armoured = f"-----BEGIN OPENSSH PRIVATE KEY-----\n{lines}\n-----END OPENSSH PRIVATE KEY-----"
+    assert secrets.confirmed_spans(armoured) == [(0, secrets.SSH, len(armoured))]
+
+
+def test_secrets_of_deeply_nested_headers():
+    deep = base64.urlsafe_b64encode(b"[" * 200_000).decode().rstrip("=")
+    assert secrets.confirmed_spans(f"a {deep}.{deep}.x b") == []
+    assert secrets.confirmed_spans("M" * 300_000) == [] and secrets.confirmed_spans("AAAA" * 100_000) == []
+
+
 # 3
 
 
@@ -194,13 +234,34 @@ def test_decontamination(spark, odd_rows, shard, monkeypatch):
 # 4
 
 
-def test_permutation_and_encoder():
+def test_permutation_and_encoder(monkeypatch):
     for n in (1, 2, 3, 7, 100, 4097):
         assert sorted(token_output.permute(np.arange(n), n).tolist()) == list(range(n))
     encoder = token_output.Encoder(open(token_output.VOCABULARY, "rb").read())
     texts = ["", None, " ", "x  y  z", "hello  world\n\n  it's ", "a　b c", "   q", "tail \n", "a\x1cb \x85c", "日本 語"]
-    for text, ids in zip(texts, encoder.encode(pa.array(texts))):
-        assert ids.tolist() == ([] if text is None else [*encoder.inner.encode_ordinary(text), encoder.end])
+    rng = random.Random(59)
+    texts += ["".join(rng.choice([" ", " ", "a", "é", "\n", "7", ".", "\u3000", "'s", "\t", "\x1c"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for limits in ({}, {"SLICE_CHARS": 7, "REMEMBERED": 5}):
+        for name, value in limits.items():
+            monkeypatch.setattr(token_output, name, value)
+        for text, ids in zip(texts, encoder.encode(pa.array(texts, pa.string()).cast(pa.binary()))):
+            assert np.frombuffer(ids, encoder.kind).tolist() == ([] if text is None else [*encoder.inner.encode_ordinary(text), encoder.end])
+
+
+def test_pieces_of_equal_polynomial_hash_keep_their_ids():
+    encoder = token_output.Encoder(open(token_output.VOCABULARY, "rb").read())
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    texts = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts).cast(pa.binary()))):
+        assert np.frombuffer(ids, encoder.kind).tolist() == [*encoder.inner.encode_ordinary(text), encoder.end]
+
+
+def test_training_order_does_not_depend_on_splits(spark, odd_rows):
+    docs = table(spark, odd_rows)
+    found = [sorted(map(tuple, token_output.training_order(docs.repartition(n), seq_len=64, per_shard=16)[0].collect())) for n in (1, 7)]
+    assert found[0] == found[1]
 
 
 def test_token_output_round_trip(spark, odd_rows, tmp_path):
@@ -256,7 +317,9 @@ def brute_groups(rows):
     return sorted([(r[0], fps[k], least.get(find(k))) for k, r in enumerate(rows)], key=repr)
 
 
-def test_simhash(spark, odd_rows):
+@pytest.mark.parametrize("most", [4096, 2])
+def test_simhash(spark, odd_rows, most, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_MOST", most)
     rng = random.Random(11)
     base = words(rng, 150)
     near = [(500 + k, " ".join(w if rng.random() > 0.004 else "zz" for w in base.split()), "en", "a") for k in range(25)]
@@ -284,6 +347,11 @@ def test_simhash_blocks_and_links():
                 assert any(not {a, b, c} & set(block) for block in simhash.BLOCKS)
     values = np.array([0, 7, 0x3F, 0xFFFF], np.uint64)
     assert {x for link in simhash.spanning_links(values) for x in link} == {0, 7, 0x3F}
+    rng = np.random.default_rng(2)
+    many = np.unique(rng.integers(0, 1 << 13, 3000).astype(np.uint64) << np.uint64(7))
+    front, rest = many[:50], many[50:]
+    flips = np.array([sum(x) for k in (1, 2, 3) for x in itertools.combinations([1 << b for b in range(7, 20)], k)], np.uint64)
+    assert (simhash._near_flips(front, rest, flips) == simhash._near_pairs(front, rest)).all()
 
 
 # 6
@@ -344,6 +412,20 @@ def test_factors_learn_pairs():
     assert both > 0 > one
 
 
+@pytest.mark.parametrize("others", [0, 20])
+def test_factors_learn_pairs_that_say_nothing_alone(others):
+    rng = np.random.default_rng(1)
+    sets, y = [], []
+    for _ in range(2000):
+        a, b = rng.random(2) < 0.5
+        more = (10 + rng.choice(300, others, replace=False)).tolist()
+        sets.append(np.array(sorted(([1] if a else []) + ([2] if b else []) + [3, *more]), np.int64))
+        y.append(float(a != b))
+    machine = toxicity.fit(sets[:1200], np.array(y[:1200]))
+    right = (machine.logits([s[machine.number[s] > 0] for s in sets[1200:]]) > 0) == np.array(y[1200:])
+    assert right.mean() > 0.95
+
+
 # 8
 
 
@@ -418,7 +500,7 @@ def test_ann(spark):
     x = rng.normal(size=(900, 16)).astype(np.float32)
     x[100:140] = x[100]
     rows = [(k, x[k].tolist(), 0) for k in range(900)]
-    rows += [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [1.0] * 3, 0), (None, [1.0] * 16, 0), rows[7], (2080, [None] * 16, 0)]
+    rows += [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [1.0] * 3, 0), (None, [1.0] * 16, 0), (2080, [None] * 16, 0)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
     hit = 0
     for q in range(0, 900, 20):
@@ -433,3 +515,18 @@ def test_ann(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in ann.search(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann.search(few.limit(0)).count() == 0
+
+
+def test_ann_takes_every_row(spark):
+    schema = "vec_id long, embedding array<double>"
+    large = [(k, [1e60 * (k + 1), -1e60 * ((7 * k) % 41), 3e59]) for k in range(41)]
+    found = ann.search(spark.createDataFrame(large, schema)).collect()
+    for q in (0, 20, 40):
+        x = np.array([v for _, v in large])
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == np.lexsort((np.arange(41), -s))[:20].tolist() and [r.score for r in own] == s[[r.vec_id for r in own]].tolist()
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (3, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (5, [1.0, 0.0, 0.0])]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, schema)).collect())
+    assert found == sorted([*[(0, 1, 0, 1.0), (0, 2, 3, 1.0), (0, 3, 0, 0.0)] * 2, (0, 1, 3, 1.0), (0, 2, 0, 0.0), (0, 3, 0, 0.0), (20, 1, 5, 1.0)])
