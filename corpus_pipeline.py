@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 all but the last return the columns of ``documents``. ``run`` writes each stage's result to the shared
 folder and reads it again as the next one's documents.
 
-No SQL: the stages hash with XXH64, fit a model and tokenize; tests hold each stage against brute force.
+No SQL: the stages hash with XXH64, fit a model and tokenize; ``tests/llm/test_queries_and_pipeline.py`` holds
+each stage's rows against a plain version on what the stage before kept.
 """
 
 from __future__ import annotations
@@ -16,21 +17,24 @@ from saltmarsh.llm.mixing import mix_rows
 from saltmarsh.llm.simhash import keep_one
 from saltmarsh.llm.token_queries import write_and_list
 from saltmarsh.llm.toxicity import drop_toxic
-from saltmarsh.session import cut
+from saltmarsh.session import bounded_batches, cut
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    bounded_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one row stays, that of the least id."""
+    bounded_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with too much of a benchmark item go."""
+    bounded_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,6 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in training order, listed by sequence."""
+    bounded_batches(spark)
     return write_and_list(docs)
 
 
