@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -222,10 +223,61 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def shifted(v: Column, start: Column, end: Column, alpha: float) -> Column:
-    """A vector moved ``alpha`` of the way from ``start`` to ``end``."""
+def shifted(v: Column, start: Column, end: Column, alpha: float, only: Column | None = None) -> Column:
+    """A vector moved ``alpha`` of the way from ``start`` to ``end``; where ``only`` is given and not true it stays."""
     delta = F.zip_with(start, end, lambda a, b: b - a)
-    return F.zip_with(v, delta, lambda x, d: x + F.lit(alpha) * d)
+    moved = F.zip_with(v, delta, lambda x, d: x + F.lit(alpha) * d)
+    return moved if only is None else F.when(only, moved).otherwise(v)
+
+
+#: Digits, units within four digits, and units of four digits, as numbers are spelled.
+DIGITS = "零一二三四五六七八九"
+SAME_DIGITS = {"〇": "零", "两": "二"}
+SMALL_UNITS = {"十": 10, "百": 100, "千": 1000}
+LARGE_UNITS = {"万": 10**4, "亿": 10**8}
+
+
+def spelled_number(said: str) -> str:
+    """A spelled number in digits: digits alone are read one by one, units multiply; what does not parse stays."""
+    for other, digit in SAME_DIGITS.items():
+        said = said.replace(other, digit)
+    whole, point, rest = said.partition("点")
+    if point and (not rest or not whole or any(c not in DIGITS for c in rest)):
+        return said
+    tail = "." + "".join(str(DIGITS.index(c)) for c in rest) if point else ""
+    if all(c in DIGITS for c in whole):
+        return "".join(str(DIGITS.index(c)) for c in whole) + tail
+    total = part = 0
+    digit, unit = None, 10**4
+    for c in whole:
+        if c in DIGITS:
+            if digit:
+                return said
+            digit, unit = DIGITS.index(c), unit if DIGITS.index(c) else 10**4
+        elif c in SMALL_UNITS:
+            if SMALL_UNITS[c] >= unit or digit is None and (c != "十" or part):
+                return said
+            part, unit, digit = part + (1 if digit is None else digit) * SMALL_UNITS[c], SMALL_UNITS[c], None
+        else:
+            part += digit or 0
+            if not part and not total:
+                return said
+            total = (total + part) * LARGE_UNITS[c] if c == "亿" else total + part * LARGE_UNITS[c]
+            part, unit, digit = 0, 10**4, None
+    return str(total + part + (digit or 0)) + tail
+
+
+_SPELLED = re.compile("[" + DIGITS + "".join(SAME_DIGITS) + "".join(SMALL_UNITS) + "".join(LARGE_UNITS) + "]+(?:点[" + DIGITS + "".join(SAME_DIGITS) + "]+)?")
+
+
+def numerals_folded(text: Column) -> Column:
+    """Text with its spelled numbers in digits, over Arrow: a number's value has no built-in; null stays null."""
+
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: _SPELLED.sub(lambda m: spelled_number(m[0]), t), na_action="ignore")
+
+    return F.pandas_udf(fold, "string")(text)
 
 
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -123,11 +123,12 @@ def label_precision(spark, sf_dir):
     return joined.agg(F.count_if(heard).alias("total"), agree.alias("agree"), F.round(F.try_divide(agree, F.count_if(heard)), 9).alias("precision"), F.count_if(~heard).alias("unsure")).where("total > 0")
 
 
-@register("contamination_exact", "SELECT DISTINCT b.item_id FROM benchmark b SEMI JOIN documents d ON b.text = d.text")
+@register("contamination_exact", "SELECT DISTINCT doc_id FROM documents WHERE source = 'src0' AND text IN (SELECT text FROM documents WHERE source <> 'src0')")
 def contamination_exact(spark, sf_dir):
     from saltmarsh.operators.governance import verbatim_members
 
-    return verbatim_members(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "text").select("item_id").distinct()
+    docs = table(spark, sf_dir, "documents")
+    return verbatim_members(docs.where("source = 'src0'"), docs.where("source <> 'src0'"), "text").select("doc_id").distinct()
 
 
 @register("unseen_texts", "SELECT doc_id FROM documents d ANTI JOIN conversations c ON d.text = c.text")
@@ -321,9 +322,9 @@ def probe_rows(spark, sf_dir):
     WITH s AS (SELECT item_id, regexp_replace(text, '\s', '', 'g') AS t FROM benchmark),
     g AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1))) AS c FROM s),
     p AS (SELECT b.item_id AS b, len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))) AS y FROM g a JOIN g b ON a.item_id < b.item_id)
-    SELECT b AS item_id, count(*) AS earlier FROM p WHERE y >= 0.95 GROUP BY b
+    SELECT b AS item_id, count(*) AS earlier FROM p WHERE y >= 0.8 GROUP BY b
     """,
 )
 def near_earlier_items(spark, sf_dir):
-    pairs = C.near_duplicate_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", bigrams=0.95, characters=0.95)
-    return pairs.where("character_jaccard >= 0.95").groupBy(F.col("b").alias("item_id")).agg(F.count("*").alias("earlier"))
+    pairs = C.near_duplicate_pairs(table(spark, sf_dir, "benchmark"), "item_id", "text", bigrams=0.8, characters=0.8)
+    return pairs.where("character_jaccard >= 0.8").groupBy(F.col("b").alias("item_id")).agg(F.count("*").alias("earlier"))

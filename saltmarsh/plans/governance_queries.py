@@ -69,9 +69,9 @@ def licence_summary(spark, sf_dir):
 
 @register(
     "endpoint_difference",
-    "WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT k, 'undocumented' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'unimplemented' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)",
+    "WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9800), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000) SELECT k, 'undocumented' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'unimplemented' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)",
 )
 def endpoint_difference(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).distinct()
-    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")).distinct()
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("k")).distinct()
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")).distinct()
     return a.exceptAll(b).withColumn("side", F.lit("undocumented")).union(b.exceptAll(a).withColumn("side", F.lit("unimplemented")))

@@ -41,15 +41,16 @@ def endpoint_step(state: dict, event: dict, ratio: float = 3.0, least_ms: int =
     return {"floor": floor, "speech": 0, "silence": 0, "armed": False}, [{"kind": "endpoint", "value": str(event["seq"])}]
 
 
-_ENDS = re.compile("[。！？!?]")
+#: Signs that end a sentence, and signs that end a clause.
+_SPOKEN = re.compile(r"(?P<sentence>[^。！？!?]*[。！？!?])|.*[，、,]", re.DOTALL)
 
 
 def first_utterance(text: str, longest: int = 24, least: int = 12) -> str | None:
     """The part of a text that can be spoken already: a sentence, or a long enough clause."""
-    if m := _ENDS.search(text):
-        return text[: m.end()]
-    at = max(text.rfind(c) for c in "，、,")
-    return text[: at + 1] if len(text) >= longest and at >= least else None
+    found = _SPOKEN.match(text)
+    if found is None or (found["sentence"] is None and (len(text) < longest or found.end() <= least)):
+        return None
+    return found[0]
 
 
 def clause_step(state: dict, event: dict) -> tuple[dict, list[dict]]:

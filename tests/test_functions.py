@@ -108,3 +108,23 @@ def test_audio(spark):
     assert A.scale_for_snr(1.0, 0.5, 20.0) == pytest.approx(0.2) and A.scale_for_snr(0.0, 1.0, 3) == 0
     assert len(A.wav_header(10, 16000)) == 44
     assert spark.createDataFrame([(body,), (None,)], "b binary").select(A.silent(F.col("b"))).collect()[0][0] is False
+
+
+def test_spelled_numbers(spark):
+    from saltmarsh.functions import text as T
+
+    cases = {"二零二一": "2021", "二十三": "23", "十": "10", "一百零五": "105", "两万三千": "23000", "一亿零二十万": "100200000", "三点一四": "3.14", "百": "百", "九〇": "90", "一千万": "10000000", "十十": "十十"}
+    assert {k: T.spelled_number(k) for k in cases} == {**cases}
+    rows = spark.createDataFrame([("二零二一年九月二十三日",), (None,), ("一般",)], "t string")
+    assert [r[0] for r in rows.select(T.numerals_folded("t")).collect()] == ["2021年9月23日", None, "1般"]
+
+
+def test_array_floor_is_the_portable_floor(spark):
+    from saltmarsh.functions import stats as S
+
+    values = [(k, float((k * 37) % 101), k % 9) for k in range(120)]
+    rows = spark.createDataFrame(values, "id long, v double, g long")
+    one = S.portable_floor(rows, "v", ["id"]).first()["floor"]
+    assert abs(one - S.noise_floor_values([v for _, v, _ in values], 200, 1)) < 1e-9
+    groups = [[v for _, v, g in values if g == k] for k in range(9)]
+    assert abs(S.portable_floor(rows, "v", ["g"], clustered=True).first()["floor"] - S.cluster_noise_floor_values(groups, 200, 1)) < 1e-9

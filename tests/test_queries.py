@@ -1,5 +1,7 @@
-"""A share of the registered queries against their SQL, on the smallest tables."""
+"""The registered queries against their SQL, on the smallest tables."""
 
+import math
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -8,15 +10,22 @@ import pytest
 from saltmarsh.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["paired_reply_length", "context_trim", "packed_blocks", "near_duplicate_items", "theme_quota", "latency_quantiles", "epoch_lag_compare", "seat_tally", "bin_tally", "flip_rate", "identify_top1", "rule_line_scan", "chunk_stream", "clause_first_cut"]
 
 
-def rounded(rows):
-    return sorted([tuple(round(float(x), 6) if isinstance(x, float) else x for x in r) for r in rows], key=repr)
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: [repr(x) if not isinstance(x, float) else f"{x:.3g}" for x in r])
+
+
+def same(a, b):
+    """Equal; of numbers rounded by both engines, the last digit may differ where a value lies on its edge."""
+    if isinstance(a, float) or isinstance(b, float):
+        return a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1.01e-4))
+    return a == b
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
     for file in Path(DATA).glob("*.parquet"):
@@ -25,8 +34,11 @@ def test_query(spark, name):
     found = con.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(got.columns)
-    assert rounded(map(tuple, got.select(*names).collect())) == rounded(found.fetchall())
+    plain = lambda rows: ordered([tuple(float(x) if isinstance(x, Decimal) else x for x in r) for r in rows])
+    ours, theirs = plain(got.select(*names).collect()), plain(found.fetchall())
+    assert len(ours) == len(theirs)
+    assert not [(a, b) for a, b in zip(ours, theirs) if not all(map(same, a, b))]
 
 
 def test_every_query_is_documented_by_sql_or_known_to_have_none():
-    assert set(QUERIES) - set(ORACLES) == {"speaker_clusters", "clause_stream", "endpoint_stream", "realtime_events"}
+    assert set(QUERIES) - set(ORACLES) == {"speaker_clusters", "clause_stream", "endpoint_stream", "realtime_events", "folded_numerals"}
