@@ -182,8 +182,9 @@ def repeat_verdict(rates: DataFrame) -> DataFrame:
 
 
 def triples(pairs: DataFrame, judgements: DataFrame) -> DataFrame:
-    """(key, prompt, chosen, rejected) of decided pairs, matched by key or, where that is empty, by id."""
-    by = judgements.select("key", F.col("winner"))
+    """(key, prompt, chosen, rejected) of decided pairs, matched by key or, where the judgement's is empty, by its id."""
+    key = F.coalesce(F.nullif(F.col("key"), F.lit("")), F.col("id")) if "id" in judgements.columns else F.col("key")
+    by = judgements.select(key.alias("key"), F.col("winner"))
     joined = pairs.drop("winner").join(by, "key")
     left = F.col("winner") == "left"
     return joined.where(F.col("winner").isin(*SEATED)).select(

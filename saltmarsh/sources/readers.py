@@ -93,7 +93,7 @@ def read_documents(spark: SparkSession, path: str, schema: StructType | str, row
 def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     """Rater sheets as CSV, with the rater's number and the folder from the file's name.
 
-    The byte-order mark goes with the header. Spreadsheet files are not read: there is no reader for them here.
+    The byte-order mark goes with the header. Workbooks without a CSV beside them are read by ``read_workbooks``.
     """
     sheets = spark.read.option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
     clean = [F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in sheets.columns]
@@ -101,6 +101,70 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return sheets.select(*clean, F.regexp_extract(name, r"(?i)rater\s*(\d+)", 1).cast("int").alias("rater"), F.regexp_extract(name, r"([^/]+)/[^/]*$", 1).alias("folder"))
 
 
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, rater, line, cells) of the first sheet of every rater's workbook that has no CSV beside it.
+
+    A workbook is a ZIP of XML: cells hold numbers or point into a table of shared strings. ``cells`` maps a
+    column's letters to its text. Where ``name.csv`` stands in the same folder, that is the sheet and the workbook is left out.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    csv = names.where(F.lower("path").endswith(".csv")).select(stem.alias("stem")).distinct()
+    books = names.where(F.lower("path").endswith(".xlsx")).select(stem.alias("stem"), "path", "content").join(csv, "stem", "left_anti").select("path", "content")
+
+    def sheets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                book = zipfile.ZipFile(io.BytesIO(body.as_py()))
+                shared = []
+                if "xl/sharedStrings.xml" in book.namelist():
+                    shared = ["".join(t.text or "" for t in item.iter(f"{main}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+                first = min(x for x in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x))
+                for row in ElementTree.fromstring(book.read(first)).iter(f"{main}row"):
+                    cells = []
+                    for cell in row.iter(f"{main}c"):
+                        value, inner = cell.find(f"{main}v"), cell.find(f"{main}is")
+                        text = "".join(t.text or "" for t in inner.iter(f"{main}t")) if inner is not None else value.text if value is not None else None
+                        cells.append((re.sub(r"\d", "", cell.get("r")), shared[int(text)] if cell.get("t") == "s" else text))
+                    for values, x in zip(out, (name, int(row.get("r")), cells)):
+                        values.append(x)
+            kinds = [pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["path", "line", "cells"])
+
+    rows = books.mapInArrow(sheets, "path string, line int, cells map<string,string>")
+    rater = F.regexp_extract("path", r"(?i)rater\s*(\d+)", 1).cast("int")
+    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("folder"), rater.alias("rater"), "line", "cells")
+
+
+def read_waves(spark: SparkSession, path: str) -> DataFrame:
+    """(path, rate, channels, samples) of 16-bit PCM files, samples from -1 to 1; other widths are refused."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import wave
+
+        import numpy as np
+
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with wave.open(io.BytesIO(body.as_py())) as sound:
+                    if sound.getsampwidth() != 2:
+                        raise ValueError(f"{name} is not 16-bit")
+                    x = np.frombuffer(sound.readframes(sound.getnframes()), "<i2") / 32768.0
+                    columns = [pa.array([name]), pa.array([sound.getframerate()], pa.int32()), pa.array([sound.getnchannels()], pa.int32()), pa.array([x], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "rate", "channels", "samples"])
+
+    return files.mapInArrow(opened, "path string, rate int, channels int, samples array<double>")
+
+
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, run, epoch, step, steps, loss, text, audio, lr) of a training log.
 

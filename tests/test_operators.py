@@ -155,3 +155,36 @@ def test_reports(spark):
     with pytest.raises(PySparkException, match="lineage"):
         N.independent_judge(judged, "judge", "model", {"j": "x", "m": "x"}).collect()
     assert spark.range(1).select(N.judge_provenance("m", "e", "t").alias("p")).first().p.model == "m"
+
+
+def test_workbooks_and_waves(spark, tmp_path):
+    import wave
+    import zipfile
+
+    from saltmarsh.sources import readers
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = f"<sst {main}><si><t>file</t></si><si><r><t>sc</t></r><r><t>ore</t></r></si></sst>"
+    sheet = f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>001</t></is></c><c r="B2"><v>4</v></c><c r="C2"/></row></sheetData></worksheet>'
+    for name in ("rater 2.xlsx", "rater 3.xlsx"):
+        (tmp_path / "round").mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / "round" / name, "w") as book:
+            book.writestr("xl/sharedStrings.xml", shared)
+            book.writestr("xl/worksheets/sheet1.xml", sheet)
+    (tmp_path / "round" / "rater 3.csv").write_text("file,score\n001,5\n")
+    got = sorted(map(tuple, readers.read_workbooks(spark, str(tmp_path)).select("rater", "line", "cells").collect()))
+    assert got == [(2, 1, {"A": "file", "B": "score"}), (2, 2, {"A": "001", "B": "4", "C": None})]
+    with wave.open(str(tmp_path / "a.wav"), "wb") as sound:
+        sound.setnchannels(1), sound.setsampwidth(2), sound.setframerate(8000)
+        sound.writeframes(b"\x00\x00\xff\x7f\x00\x80")
+    found = readers.read_waves(spark, str(tmp_path)).collect()
+    assert [(r.rate, r.channels, r.samples) for r in found] == [(8000, 1, [0.0, 32767 / 32768, -1.0])]
+
+
+def test_names_of_voices_are_text(spark):
+    from saltmarsh.operators import vectors
+
+    voices = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "voice string, v array<double>")
+    clips = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1])], "clip long, own string, e array<double>")
+    got = {r.clip: (r.nearest, r.hit) for r in vectors.identify(clips, voices, "clip", "own", "e").collect()}
+    assert got == {1: ("a", True), 2: ("a", False)}
