@@ -530,3 +530,95 @@ def test_ann_takes_every_row(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (3, [1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (5, [1.0, 0.0, 0.0])]
     found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, schema)).collect())
     assert found == sorted([*[(0, 1, 0, 1.0), (0, 2, 3, 1.0), (0, 3, 0, 0.0)] * 2, (0, 1, 3, 1.0), (0, 2, 0, 0.0), (0, 3, 0, 0.0), (20, 1, 5, 1.0)])
+
+
+# plain versions of the models
+
+
+def test_periodic_text_travels_about_once():
+    for period in (1, 2, 7, 60):
+        data = np.frombuffer((bytes(range(65, 65 + period)) * 20_000)[:20_000], np.uint8)
+        row, _, first, end, twice = suffix_dedup.anchors(data, np.array([0, len(data)]), np.zeros(0, np.uint64))
+        assert (end - first + suffix_dedup.LENGTH - 1).sum() <= 1.2 * len(data) and twice.all()
+
+
+def test_suffix_dedup_tells_no_id_from_the_least_id(spark):
+    rng = random.Random(67)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
+    rows = [(None, text, "en", "a"), (-(1 << 63), text, "en", "a"), (None, text + "x", "en", "a"), (5, "q" * 260, "en", "a")]
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(table(spark, rows)).collect()], key=repr)
+    assert got == sorted([(None, 300, 0), (-(1 << 63), 300, 300), (None, 301, 0), (5, 260, 259)], key=repr)
+
+
+def test_mixture_is_the_plain_expectation_maximisation():
+    rng = random.Random(71)
+    names = ["aa", "bb", "cc"]
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(1 << language_id.BITS) * 0.05 + 0.01, 3).T + 1e-9)
+    model = language_id.Languages(names, logs)
+    for size in (1, 5, 80, 400, 400):
+        at, counts = language_id.gram_counts(np.frombuffer(words(rng, size).encode(), np.uint8))
+        chosen, shares = model.mixture(at, counts)
+
+        def fitted(members):
+            share = [1 / len(members)] * len(members)
+            for _ in range(3000):
+                new = [0.0] * len(members)
+                for b, c in zip(at.tolist(), counts.tolist()):
+                    p = [s * np.exp(logs[b, k]) for s, k in zip(share, members)]
+                    new = [n + c * x / sum(p) for n, x in zip(new, p)]
+                new = [x / counts.sum() for x in new]
+                if max(abs(x - y) for x, y in zip(new, share)) < 1e-7:
+                    break
+                share = new
+            value = sum(c * np.log(sum(s * np.exp(logs[b, k]) for s, k in zip(share, members))) for b, c in zip(at.tolist(), counts.tolist()))
+            return share, value
+
+        share, value = fitted(chosen)
+        assert abs(sum(shares) - 1) < 1e-6 and np.allclose(sorted(shares), sorted(share), atol=0.05)
+        reached = counts @ np.log(np.exp(logs[np.ix_(at, chosen)]) @ shares)
+        assert reached <= value + 1e-6 and reached > value - max(0.5, 0.002 * abs(value))
+        line = language_id.PENALTY * 0.5 * np.log(max(counts.sum(), 2))
+        single = max(fitted([k])[1] for k in range(3))
+        assert len(chosen) == 1 or reached - single > line * (len(chosen) - 1) - 0.5
+
+
+def test_markov_is_the_plain_witten_bell():
+    rng = random.Random(73)
+    urls = [f"{words(rng, 1)}.site.org/{words(rng, 2).replace(' ', '/')}" for _ in range(40)]
+    model = url_filter.Markov.fit(urls)
+    counts = {}
+    for u in urls:
+        body = b"\x02" * url_filter.ORDER + u.encode() + b"\x03"
+        for k in range(url_filter.ORDER, len(body)):
+            for n in range(url_filter.ORDER + 1):
+                counts.setdefault(body[k - n : k], {}).setdefault(body[k], 0)
+                counts[body[k - n : k]][body[k]] += 1
+
+    def plain(context, c):
+        p = 1 / 256
+        for n in range(url_filter.ORDER + 1):
+            seen = counts.get(context[len(context) - n :], {})
+            if seen:
+                p = (seen.get(c, 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+    for u in [*urls[:5], "new.site.org/zz", "é/x"]:
+        data, place, _ = url_filter._flat([u])
+        body = b"\x02" * url_filter.ORDER + u.encode() + b"\x03"
+        want = [np.log(plain(body[k - url_filter.ORDER : k], body[k])) for k in range(url_filter.ORDER, len(body))]
+        assert np.allclose(model.logs(data, place), want)
+
+
+def test_odd_rows_of_language_and_urls(spark, odd_rows):
+    docs = table(spark, odd_rows)
+    found = language_id.predict(docs, language_id.train(docs)).collect()
+    assert len(found) == len(odd_rows)
+    of = {}
+    for r in found:
+        of.setdefault(r.doc_id, set()).add(r.lang_pred)
+    assert len(of[5]) == 1 and of[5] == of[103] and of[101] == of[102] == {"und"}
+    pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate([None, "", "://", "http://a.com/", "http://a.com/", "http://" + "x" * 100_000 + ".net/fr/"])], "page_id long, url string, rule string")
+    judged = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.train(pages)).collect()}
+    assert judged[3].verdict == judged[4].verdict == "allow" and judged[5].rule == "net/fr/" and judged[0].host == judged[2].host == ""
+    assert url_filter.filter_urls(pages.limit(0), url_filter.train(pages.limit(0))).count() == 0
+    assert language_id.predict(docs.limit(0), language_id.train(docs)).count() == 0
