@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.stats import RESOLVE, verdict
 from saltmarsh.functions.text import basename, cosine
 from saltmarsh.operators.governance import required
 
@@ -51,6 +52,42 @@ def usable_voices(rows: DataFrame, codes: str, embedding: str, width: int = SPEA
     return rows.where(F.col(codes).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) == width) & (F.size(codes) >= least))
 
 
+def clone_report(candidate: DataFrame, reference: DataFrame, effects: tuple[float, float] = (0.05, 0.10)) -> DataFrame:
+    """Per voice what a candidate changes on the clips (id, similarity, hit) that both sides have, and verdicts over all voices.
+
+    A clip is named ``voice/clip``. (voice, clips, similarity, hits, similarity_verdict, hit_verdict): mean change of
+    the similarity, change in the number of hits, and whether the mean changes of the voices tell the change from
+    noise: voices are the units, since clips of one voice are no evidence of their own. More is better. With one
+    voice the verdicts are null; clips of one side alone, and null ids, take no part.
+    """
+    both = candidate.select("id", F.col("similarity").alias("s1"), F.col("hit").cast("double").alias("h1")).join(reference.select("id", F.col("similarity").alias("s0"), F.col("hit").cast("double").alias("h0")), "id")
+    changes = both.select(F.substring_index("id", "/", 1).alias("voice"), (F.col("s1") - F.col("s0")).alias("s"), (F.coalesce("h1", F.lit(0.0)) - F.coalesce("h0", F.lit(0.0))).alias("h"))
+    voices = changes.groupBy("voice").agg(F.count("*").alias("clips"), F.avg("s").alias("similarity"), F.sum("h").alias("hits"), F.avg("h").alias("hit_rate"), F.sum("s").alias("total"), F.count("s").alias("scored"))
+    line = RESOLVE * F.lit(1.96) / F.sqrt(F.count("*"))
+    whole = voices.agg(
+        (F.sum("total") / F.sum("scored")).alias("s_"), (F.stddev_samp("similarity") * line).alias("s_line"), (F.sum("hits") / F.sum("clips")).alias("h_"), (F.stddev_samp("hit_rate") * line).alias("h_line"),
+    )
+    judged = [F.when(F.col(f"{x}_line").isNotNull(), verdict(F.col(f"{x}_"), F.col(f"{x}_line"), False, effect)).alias(name) for x, effect, name in zip("sh", effects, ("similarity_verdict", "hit_verdict"))]
+    return voices.join(F.broadcast(whole)).select("voice", "clips", "similarity", F.col("hits").cast("long").alias("hits"), *judged)  # one row is broadcast
+
+
+def valid_pairs(candidate: DataFrame, reference: DataFrame, key: str, text: str, values: list[str], share: float = 0.8) -> DataFrame:
+    """(key, values of the candidate, values of the reference as ``<name>_reference``) where pairing by key is valid, else no rows.
+
+    Valid: two pairs or more, that cover ``share`` of the smaller side, and the same reference text on both sides of
+    every pair; texts that differ would subtract unrelated numbers. Null and empty keys pair with nothing but
+    count as rows of their side.
+    """
+    mine = candidate.select(F.col(key).alias("k_"), F.col(text).alias("t_"), *values)
+    theirs = reference.select(F.col(key).alias("k_"), F.col(text).alias("u_"), *[F.col(v).alias(f"{v}_reference") for v in values])
+    pairs = mine.where(F.col("k_").cast("string") != "").join(theirs, "k_")
+    least = mine.agg(F.count("*").alias("a_")).join(theirs.agg(F.count("*").alias("b_")))
+    seen = pairs.agg(F.count("*").alias("n_"), F.coalesce(F.bool_and(F.col("t_").eqNullSafe(F.col("u_"))), F.lit(False)).alias("same_"))
+    enough = F.col("n_") >= F.greatest(F.lit(2), F.floor(share * F.least("a_", "b_")))
+    gate = seen.join(least).where(F.col("same_") & enough).select(F.lit(True).alias("valid_"))
+    return pairs.join(F.broadcast(gate)).select(F.col("k_").alias(key), *values, *[f"{v}_reference" for v in values])  # one row at most
+
+
 def judge_provenance(model: str, endpoint: str, template: str) -> Column:
     """Who judged: model, endpoint and the digest of the prompt, never a key."""
     return F.struct(F.lit(model).alias("model"), F.lit(endpoint).alias("endpoint"), F.sha2(F.lit(template).cast("binary"), 256).alias("prompt_sha256"))

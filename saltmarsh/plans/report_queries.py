@@ -50,3 +50,40 @@ def merged_weights(spark, sf_dir):
 @register("usable_voices", "SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND label >= 0")
 def usable_voices(spark, sf_dir):
     return R.usable_voices(table(spark, sf_dir, "embeddings").where("label >= 0"), "embedding", "embedding", 64, 64).select("vec_id")
+
+
+_CLONES = "WITH a AS (SELECT label || '/' || vec_id AS id, embedding[1]::DOUBLE AS s1, embedding[2]::DOUBLE AS s0, embedding[1] > 0 AS h1, embedding[2] > 0 AS h0 FROM embeddings)"
+
+
+def _clones(spark, sf_dir, place):
+    x = F.element_at("embedding", place)
+    return table(spark, sf_dir, "embeddings").select(F.concat_ws("/", "label", "vec_id").alias("id"), x.cast("double").alias("similarity"), (x > 0).alias("hit"))
+
+
+@register(
+    "clone_report",
+    f"""{_CLONES}, v AS (SELECT split_part(id, '/', 1) AS voice, count(*) AS clips, avg(s1 - s0) AS similarity, sum(h1::INT - h0::INT)::BIGINT AS hits, avg(h1::INT - h0::INT) AS rate FROM a GROUP BY 1),
+    w AS (SELECT sum(similarity * clips) / sum(clips) AS s, 3 * 1.96 * stddev_samp(similarity) / sqrt(count(*)) AS st, sum(hits) / sum(clips) AS h, 3 * 1.96 * stddev_samp(rate) / sqrt(count(*)) AS ht FROM v)
+    SELECT voice, clips, round(similarity, 6) AS similarity, hits,
+           CASE WHEN abs(s) <= st THEN 'indistinguishable' WHEN s > 0 THEN 'improved' ELSE 'regressed' END || CASE WHEN (abs(s) <= st AND st > 0.05) OR (abs(s) > st AND abs(s) < 0.05) THEN ', report only' ELSE '' END AS similarity_verdict,
+           CASE WHEN abs(h) <= ht THEN 'indistinguishable' WHEN h > 0 THEN 'improved' ELSE 'regressed' END || CASE WHEN (abs(h) <= ht AND ht > 0.10) OR (abs(h) > ht AND abs(h) < 0.10) THEN ', report only' ELSE '' END AS hit_verdict
+    FROM v, w""",
+)
+def clone_report(spark, sf_dir):
+    out = R.clone_report(_clones(spark, sf_dir, 1), _clones(spark, sf_dir, 2))
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@register(
+    "valid_pairs",
+    """
+    WITH a AS (SELECT doc_id::VARCHAR AS id, text, n_chars AS x FROM documents), b AS (SELECT doc_id::VARCHAR AS id, text, doc_id AS x FROM documents JOIN labels USING (doc_id)),
+    p AS (SELECT a.id, a.x, b.x AS x_reference, a.text IS NOT DISTINCT FROM b.text AS same FROM a JOIN b USING (id))
+    SELECT id, x, x_reference FROM p WHERE (SELECT bool_and(same) AND count(*) >= greatest(2, floor(0.8 * least((SELECT count(*) FROM a), (SELECT count(*) FROM b)))) FROM p)
+    """,
+)
+def valid_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("n_chars").alias("x"))
+    other = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("x"))
+    return R.valid_pairs(own, other, "id", "text", ["x"])
