@@ -298,12 +298,10 @@ def rater_sheets(spark, sf_dir):
 
 @register(
     "arm_rotation",
-    "SELECT event_id, (event_id % 50 + k) % 4 AS arm, k AS place FROM events, range(4) r(k) WHERE event_type = (SELECT min(event_type) FROM events)",
+    "SELECT event_id, (event_id % 50 + k) % 4 AS arm, k AS place FROM events, range(4) r(k)",
 )
 def arm_rotation(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    first = events.agg(F.min("event_type").alias("event_type"))
-    rows = events.join(F.broadcast(first), "event_type").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
     return rows.select("event_id", ((F.col("event_id") % 50 + F.col("place")) % 4).alias("arm"), F.col("place").cast("long").alias("place"))
 
 

@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import quantiles as Q
 from saltmarsh.functions import stats as S
 from saltmarsh.plans.core import register, table
+from saltmarsh.session import cut
 
 _SORTED = "SELECT event_type, list_sort(list(value)) AS x, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type"
 
 
-def _values(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.collect_list("value").alias("x"), F.median("value").alias("m"), F.percentile("value", F.lit(0.95)).alias("p"))
+def _at_ranks(spark, sf_dir, ranks):
+    return Q.at_ranks(table(spark, sf_dir, "events"), "event_type", "value", ranks)
+
+
+def _between(n, f):
+    """The ranks on both sides of the interpolated quantile."""
+    return {"low": F.floor(f * (n - 1)), "high": F.ceil(f * (n - 1))}
+
+
+def _interpolated(n, f):
+    place = f * (n - 1)
+    return F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
 
 
 @register(
@@ -27,21 +38,17 @@ def _values(spark, sf_dir):
     """,
 )
 def latency_quantiles(spark, sf_dir):
-    x = F.col("x")
-    return _values(spark, sf_dir).select(
-        "event_type",
-        F.size("x").cast("long").alias("n"),
-        F.round(Q.index_capped(x, 0.95), 9).alias("index_capped"),
-        F.round(Q.minus_one(x, 0.95), 9).alias("minus_one"),
-        F.round(Q.percent_capped(x, 95), 9).alias("percent_capped"),
-        F.round(Q.index_uncapped(x, 0.9), 9).alias("uncapped"),
-        F.round("p", 6).alias("linear"),
-    )
+    n = F.col("n")
+    ranks = {"index_capped": Q.capped_rank(n, 0.95), "minus_one": Q.minus_one_rank(n, 0.95), "percent_capped": Q.percent_rank(n, 95), "uncapped": Q.uncapped_rank(n, 0.9)}
+    found = _at_ranks(spark, sf_dir, {**ranks, **_between(n, F.lit(0.95))})
+    return found.select("event_type", "n", *[F.round(c, 9).alias(c) for c in ranks], F.round(_interpolated(n, F.lit(0.95)), 6).alias("linear"))
 
 
 @register("two_medians", f"WITH s AS ({_SORTED}) SELECT event_type, round(x[1 + (n // 2)::INT], 9) AS upper_median, round((SELECT median(value) FROM events e WHERE e.event_type = s.event_type), 6) AS median FROM s")
 def two_medians(spark, sf_dir):
-    return _values(spark, sf_dir).select("event_type", F.round(Q.upper_median(F.col("x")), 9).alias("upper_median"), F.round("m", 6).alias("median"))
+    n = F.col("n")
+    found = _at_ranks(spark, sf_dir, {"upper": Q.upper_rank(n), **_between(n, F.lit(0.5))})
+    return found.select("event_type", F.round("upper", 9).alias("upper_median"), F.round(_interpolated(n, F.lit(0.5)), 6).alias("median"))
 
 
 @register(
@@ -258,7 +265,7 @@ def storage_resolution(spark, sf_dir):
 @register(
     "epoch_lag_compare",
     """
-    WITH p AS (SELECT event_type AS run, user_id % 6 AS epoch, value FROM events WHERE event_id % 1000 BETWEEN 100 AND 700),
+    WITH p AS (SELECT event_type AS run, user_id % 6 AS epoch, value FROM events),
     e AS (SELECT run, epoch, count(*) AS n, avg(value) AS m, 1.96 * stddev_samp(value) / sqrt(count(*)) AS f FROM p GROUP BY ALL),
     c AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY run) AS fullest FROM e) WHERE n >= greatest(10, floor(fullest * 0.8))),
     l AS (SELECT *, lag(m) OVER w AS pm, lag(f) OVER w AS pf FROM c WINDOW w AS (PARTITION BY run ORDER BY epoch))
@@ -268,7 +275,7 @@ def storage_resolution(spark, sf_dir):
     """,
 )
 def epoch_lag_compare(spark, sf_dir):
-    points = table(spark, sf_dir, "events").where("event_id % 1000 BETWEEN 100 AND 700").select(F.col("event_type").alias("run"), (F.col("user_id") % 6).alias("epoch"), "value")
+    points = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 6).alias("epoch"), "value")
     epochs = points.groupBy("run", "epoch").agg(F.count("*").alias("n"), F.avg("value").alias("m"), (F.lit(1.96) * F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("f"))
     full = epochs.withColumn("fullest", F.max("n").over(Window.partitionBy("run"))).where(F.col("n") >= F.greatest(F.lit(10), F.floor(F.col("fullest") * 0.8)))
     order = Window.partitionBy("run").orderBy("epoch")
@@ -332,10 +339,15 @@ def adjacent_sets(spark, sf_dir):
 )
 def stage_latency(spark, sf_dir):
     t = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 10).alias("turn"), F.col("event_type").alias("stage")).agg(F.sum("value").alias("ms"))
-    totals = t.groupBy("turn").agg(F.sum("ms").alias("total")).agg(F.count("*").alias("all_turns"), F.collect_list("total").alias("x"))
-    totals = totals.select("all_turns", Q.index_capped(F.col("x"), 0.95).alias("p95"))
-    stages = t.groupBy("stage").agg(F.count("*").alias("turns"), F.collect_list("ms").alias("x"))
-    return stages.join(F.broadcast(totals)).select("stage", "turns", F.round(Q.upper_median(F.col("x")), 6).alias("upper_median"), (F.col("all_turns") - F.col("turns")).alias("absent"), F.round("p95", 6).alias("total_p95"))
+    t = cut(t)  # sums of doubles may differ by their order, and each is read several times
+    whole = cut(t.groupBy("turn").agg(F.sum("ms").alias("total")))
+    totals = Q.at_ranks(whole.withColumn("all_", F.lit(0)), "all_", "total", {"p95": Q.capped_rank(F.col("n"), 0.95)}).select("p95")
+    counted = whole.agg(F.count("*").alias("all_turns"))
+    stages = t.groupBy("stage").agg(F.count("*").alias("turns"))
+    middle = Q.at_ranks(t, "stage", "ms", {"upper": Q.upper_rank(F.col("n"))}).select(F.col("stage").alias("stage_"), "upper")
+    placed = stages.join(middle, F.col("stage").eqNullSafe(F.col("stage_")), "left")
+    both = placed.join(F.broadcast(counted)).join(F.broadcast(totals))  # two tables of one row
+    return both.select("stage", "turns", F.round("upper", 6).alias("upper_median"), (F.col("all_turns") - F.col("turns")).alias("absent"), F.round("p95", 6).alias("total_p95"))
 
 
 @register(
