@@ -13,22 +13,41 @@ from saltmarsh.operators.governance import required
 
 #: A row group beyond this is refused, as a reader holds a whole one.
 MAX_GROUP_BYTES = 512 << 20
+#: Stores whose files are opened by range.
+RANGED = ("file", "hdfs")
 
 
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_group, num_rows, total_byte_size, offset) from the footers alone.
 
-    Files are read as Spark's own binary source gives them, so any store will do; they are expected to be
-    no larger than one task may hold. Offsets run over files by name, groups in order.
+    Files are listed by Spark, without their content, and executors read the last bytes of each by range, of any
+    size of file. That goes for the schemes of ``RANGED``; files of other stores are read as Spark's binary source
+    gives them, so these must be no larger than one task may hold. Offsets run over files by name, groups in order.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    ranged = F.regexp_extract("path", r"^([A-Za-z][\w+.-]*):", 1).isin(*RANGED)
+    listed = files.where(ranged).select("path", F.lit(None).cast("binary").alias("content"))
+    # A file list is dealt by size, which footers do not depend on.
+    files = listed.repartition(spark.sparkContext.defaultParallelism).unionByName(files.where(~ranged).select("path", "content"))
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import unquote, urlsplit
+
         import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def opened(name: str, body: pa.Scalar):
+            if body.is_valid:
+                return pa.BufferReader(body.as_buffer())
+            if (at := urlsplit(name)).scheme == "file":
+                return fs.LocalFileSystem().open_input_file(unquote(at.path))
+            store, inner = fs.FileSystem.from_uri(name)
+            return store.open_input_file(inner)
 
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                meta = pq.ParquetFile(pa.BufferReader(body.as_buffer())).metadata
+                with opened(name, body) as source:
+                    meta = pq.ParquetFile(source).metadata
                 groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(groups), pa.string()), pa.array(range(len(groups)), pa.int32()), pa.array([g.num_rows for g in groups], pa.int64()), pa.array([g.total_byte_size for g in groups], pa.int64())],
@@ -51,21 +70,29 @@ def checked_groups(groups: DataFrame, limit: int = MAX_GROUP_BYTES) -> DataFrame
 
 
 def located(groups: DataFrame, indices: DataFrame, index: str) -> DataFrame:
-    """(index, file, row_group, within) of global row numbers; negative ones count from the end, others out of range stop the job."""
-    total = groups.agg(F.sum("num_rows").alias("total_"))
+    """(index, file, row_group, within) of global row numbers; negative ones count from the end, others out of range stop the job.
+
+    Row numbers and groups meet by stretches as long as the mean group: a group is listed under each stretch that it
+    reaches into, about two on average, so the join is by equal keys and a number meets few groups.
+    """
+    total = groups.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("total_"), F.greatest(F.ceil(F.avg("num_rows")), F.lit(1)).alias("width_"))
     whole = indices.join(F.broadcast(total)).withColumn("at_", F.when(F.col(index) < 0, F.col(index) + F.col("total_")).otherwise(F.col(index)))
     fine = required(whole, (F.col("at_") >= 0) & (F.col("at_") < F.col("total_")), "a row number is out of range")
+    last = F.col("offset") + F.col("num_rows") - 1
+    reached = F.sequence(F.floor(F.col("offset") / F.col("width_")), F.floor(last / F.col("width_")))
+    listed = groups.where("num_rows > 0").join(F.broadcast(total)).select("file", "row_group", "num_rows", "offset", F.explode(reached).alias("stretch_"))
     inside = (F.col("at_") >= F.col("offset")) & (F.col("at_") < F.col("offset") + F.col("num_rows"))
-    return fine.join(groups, inside).select(index, "file", "row_group", (F.col("at_") - F.col("offset")).alias("within"))
+    asked = fine.withColumn("stretch_", F.floor(F.col("at_") / F.col("width_")))
+    return asked.join(listed, "stretch_").where(inside).select(index, "file", "row_group", (F.col("at_") - F.col("offset")).alias("within"))
 
 
-def repartitioned(spark: SparkSession, source: str, target: str, rows_per_file: int = 4096) -> DataFrame:
-    """Rewrite a corpus in pieces of at most ``rows_per_file`` rows, snappy; stops if the row count changed.
+def repartitioned(spark: SparkSession, source: str, target: str, rows_per_group: int = 4096) -> DataFrame:
+    """Rewrite a corpus in row groups of ``rows_per_group`` rows, the last of a file what is left; snappy.
 
-    Spark bounds rows by file, not by row group, so each piece is a file of one group.
+    Stops if the row count changed. The Parquet writer closes a group at that many rows, or earlier at its size limit.
     """
     rows = spark.read.parquet(source)
-    rows.write.option("compression", "snappy").option("maxRecordsPerFile", rows_per_file).parquet(target)
+    rows.write.option("compression", "snappy").option("parquet.block.row.count.limit", rows_per_group).parquet(target)
     out = spark.read.schema(rows.schema).parquet(target)
     before, after = rows.count(), out.count()
     if before != after:
@@ -73,6 +100,13 @@ def repartitioned(spark: SparkSession, source: str, target: str, rows_per_file:
     return out
 
 
+def one_row_copy(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """A corpus of the same schema with one row of the source, as a stand-in for readers that need a file."""
+    rows = spark.read.parquet(source)
+    rows.limit(1).write.parquet(target)
+    return spark.read.schema(rows.schema).parquet(target)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, required_fields: tuple[str, ...] = (), partial: bool = False) -> DataFrame:
     """Rows of a JSONL file: blank lines skipped, unknown fields ignored, required fields checked.
 

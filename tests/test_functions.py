@@ -128,3 +128,25 @@ def test_array_floor_is_the_portable_floor(spark):
     assert abs(one - S.noise_floor_values([v for _, v, _ in values], 200, 1)) < 1e-9
     groups = [[v for _, v, g in values if g == k] for k in range(9)]
     assert abs(S.portable_floor(rows, "v", ["g"], clustered=True).first()["floor"] - S.cluster_noise_floor_values(groups, 200, 1)) < 1e-9
+
+
+def test_ranks_of_groups_are_those_of_sorted_lists(spark):
+    from saltmarsh.functions import quantiles as Q
+
+    values = {"a": [k * 37 % 1009 / 10 for k in range(3000)], "b": [5.0] * 700 + [1.0], "c": [2.0], None: [3.0, 1.0], "d": []}
+    rows = [(g, float(v)) for g, x in values.items() for v in x] + [("d", None), ("a", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    n = F.col("n")
+    ranks = {"low": F.lit(0), "upper": Q.upper_rank(n), "p95": Q.capped_rank(n, 0.95), "past": n}
+    got = {r.g: (r.n, r.low, r.upper, r.p95, r.past) for r in Q.at_ranks(table, "g", "v", ranks, buckets=16).collect()}
+    plain = {g: sorted(x) for g, x in values.items() if x}
+    assert got == {g: (len(x), x[0], x[len(x) // 2], x[min(int(0.95 * len(x)), len(x) - 1)], None) for g, x in plain.items()}
+
+
+def test_large_tables_are_numbered_by_ranges(spark, monkeypatch):
+    from saltmarsh.functions import stats as S
+
+    rows = spark.range(300).select("id", (F.col("id") * 7 % 31).cast("double").alias("v"))
+    whole = S.portable_floor(rows, "v", ["id"]).first()
+    monkeypatch.setattr(S, "_ONE_TASK", 64)
+    assert S.portable_floor(rows, "v", ["id"]).first() == pytest.approx(tuple(whole))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from saltmarsh.operators import corpus as C
 from saltmarsh.operators import governance as G
 from saltmarsh.operators import preference as P
+from saltmarsh.operators import reports as RP
 from saltmarsh.operators import vectors as V
 from saltmarsh.sources import readers as R
 from saltmarsh.streaming import sessions as S
@@ -98,7 +99,14 @@ def test_row_groups(spark, tmp_path):
         R.located(groups, spark.createDataFrame([(250,)], "i long"), "i").collect()
     with pytest.raises(PySparkException, match="too large"):
         R.checked_groups(groups, 1).collect()
-    assert R.repartitioned(spark, f"file://{tmp_path}/t.parquet", f"file://{tmp_path}/out", 100).count() == 250
+    again = f"file://{tmp_path}/out"
+    assert R.repartitioned(spark, f"file://{tmp_path}/t.parquet", again, 100).count() == 250
+    assert sorted(r.num_rows for r in R.row_groups(spark, again).collect()) == [50, 100, 100]
+    assert R.one_row_copy(spark, f"file://{tmp_path}/t.parquet", f"file://{tmp_path}/one").collect() == [(0,)]
+    # Groups of very different sizes, empty ones among them.
+    wide = spark.createDataFrame([("f", 0, 1000, 0), ("f", 1, 0, 1000), ("f", 2, 1, 1000), ("f", 3, 2, 1001)], "file string, row_group int, num_rows long, offset long")
+    found = R.located(wide, spark.range(1003).withColumnRenamed("id", "i"), "i").collect()
+    assert sorted((r.i, r.row_group, r.within) for r in found) == [(i, 0, i) for i in range(1000)] + [(1000, 2, 0), (1001, 3, 0), (1002, 3, 1)]
 
 
 def test_readers(spark, tmp_path):
@@ -188,3 +196,55 @@ def test_names_of_voices_are_text(spark):
     clips = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.9, 0.1])], "clip long, own string, e array<double>")
     got = {r.clip: (r.nearest, r.hit) for r in vectors.identify(clips, voices, "clip", "own", "e").collect()}
     assert got == {1: ("a", True), 2: ("a", False)}
+
+
+def test_voices_by_blocks_are_voices_at_once(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"v{k}", [rng.uniform(-1, 1) for _ in range(4)]) for k in range(20)]
+    voices = spark.createDataFrame([*rows, ("w", rows[0][1])], "voice string, v array<double>")
+    clips = spark.createDataFrame([(k, f"v{k % 20}", [rng.uniform(-1, 1) for _ in range(4)]) for k in range(30)], "c long, own string, e array<double>")
+    whole = sorted(V.identify(clips, voices, "c", "own", "e").collect())
+    monkeypatch.setattr(V, "FEW_VOICES", 6)
+    assert sorted(V.identify(clips, voices, "c", "own", "e").collect()) == whole
+
+
+def test_clone_report(spark):
+    kind = "id string, similarity double, hit boolean"
+    before = spark.createDataFrame([("a/1", 0.5, False), ("a/2", 0.5, True), ("b/1", 0.6, True), ("c/9", 0.1, True)], kind)
+    after = spark.createDataFrame([("a/1", 0.7, True), ("a/2", 0.7, True), ("b/1", 0.8, True), ("d/1", 0.9, True)], kind)
+    out = sorted(RP.clone_report(after, before).collect())
+    assert [(r.voice, r.clips, round(r.similarity, 9), r.hits) for r in out] == [("a", 2, 0.2, 1), ("b", 1, 0.2, 0)]
+    # Every voice gains alike: no spread, so the gain is one. Hits gain in one voice of two.
+    assert {(r.similarity_verdict, r.hit_verdict) for r in out} == {("improved", "indistinguishable, report only")}
+
+
+def test_valid_pairs(spark):
+    kind = "id string, text string, x double"
+    a = spark.createDataFrame([("1", "t", 1.0), ("2", "u", 2.0), (None, "v", 3.0)], kind)
+    b = spark.createDataFrame([("1", "t", 1.5), ("2", "u", 2.5), ("", "v", 3.5)], kind)
+    assert sorted(tuple(r) for r in RP.valid_pairs(a, b, "id", "text", ["x"]).collect()) == [("1", 1.0, 1.5), ("2", 2.0, 2.5)]
+    other = b.withColumn("text", F.when(F.col("id") == "2", "changed").otherwise(F.col("text")))
+    assert RP.valid_pairs(a, other, "id", "text", ["x"]).isEmpty()
+    assert RP.valid_pairs(a, b.where("id = '1'"), "id", "text", ["x"]).isEmpty()
+
+
+def test_babble(spark):
+    import numpy as np
+
+    from saltmarsh.functions.audio import samples
+    from saltmarsh.operators.noise import babbled
+
+    rng = np.random.default_rng(3)
+    bodies = [(k, (rng.normal(0, 3000, n)).astype("<i2").tobytes()) for k, n in enumerate((800, 400, 1600, 10, 0))]
+    clips = spark.createDataFrame([*[(k, bytearray(b)) for k, b in bodies], (9, None)], "k long, body binary")
+    one, two = (sorted((r.k, r.body and bytes(r.body)) for r in babbled(clips, "k", "body", 10.0).collect()) for _ in range(2))
+    assert one == two and [k for k, _ in one] == [0, 1, 2, 3, 4, 9]
+    out = dict(one)
+    assert out[9] is None and out[4] == b""
+    for k, body in bodies[:3]:
+        x, y = samples(body).astype(float), samples(out[k]).astype(float)
+        noise = y - x
+        assert len(x) == len(y)
+        assert abs(10 * np.log10((x * x).mean() / (noise * noise).mean()) - 10) < 0.1
