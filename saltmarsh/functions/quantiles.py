@@ -79,8 +79,10 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column],
     inner = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     cuts = cut(slim.groupBy("g_").agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("v_", inner, 10 * buckets)).alias("cuts_")))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
-    groups = cuts.select(F.col("g_").alias("h_"), "cuts_")
-    bucket = F.size(F.filter("cuts_", lambda c: c < F.col("v_")))
+    # Cuts ascend: those below a value are counted among each sixteenth first, then among the fifteen after these.
+    groups = cuts.select(F.col("g_").alias("h_"), "cuts_", F.filter("cuts_", lambda c, i: i % 16 == 15).alias("coarse_"))
+    ahead = F.size(F.filter("coarse_", lambda c: c < F.col("v_"))) * 16
+    bucket = ahead + F.size(F.filter(F.slice("cuts_", ahead + 1, F.lit(15)), lambda c: c < F.col("v_")))
     dealt = slim.join(groups, F.col("g_").eqNullSafe(F.col("h_"))).select("g_", bucket.alias("b_"), "v_")
     sizes = dealt.groupBy("g_", "b_").agg(F.count("*").alias("k_"))
     before = F.sum("k_").over(Window.partitionBy("g_").orderBy("b_")) - F.col("k_")
