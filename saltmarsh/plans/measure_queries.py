@@ -407,10 +407,12 @@ def rater_consistency(spark, sf_dir):
            round(list_sum(x) / 1000 / (n * 0.2), 6) AS real_time_factor FROM s""",
 )
 def synthesis_efficiency(spark, sf_dir):
-    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
-    n = F.size("x")
-    return _values(spark, sf_dir).select(
-        "event_type", n.cast("long").alias("n"), F.round(Q.upper_median(F.col("x")), 6).alias("median_ms"), F.when(n >= 20, F.round(Q.minus_one(F.col("x"), 0.95), 6)).alias("p95_ms"), F.round(total / 1000 / (n * 0.2), 6).alias("real_time_factor")
+    n = F.col("n")
+    found = _at_ranks(spark, sf_dir, {"median": Q.upper_rank(n), "p95": Q.minus_one_rank(n, 0.95)})
+    totals = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type_")).agg(F.sum("value").alias("total"))
+    both = found.join(totals, F.col("event_type").eqNullSafe(F.col("type_")))
+    return both.select(
+        "event_type", "n", F.round("median", 6).alias("median_ms"), F.when(n >= 20, F.round("p95", 6)).alias("p95_ms"), F.round(F.col("total") / 1000 / (n * 0.2), 6).alias("real_time_factor")
     )
 
 
