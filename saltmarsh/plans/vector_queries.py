@@ -42,7 +42,7 @@ def cosine_edges(spark, sf_dir):
 @register("speaker_clusters")
 def speaker_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return V.speaker_clusters(V.similar_pairs(rows, "vec_id", "embedding", 0.35), rows, "vec_id", 3)
+    return V.greedy_clusters(rows, "vec_id", "embedding", 0.35, 3)
 
 
 @register(
